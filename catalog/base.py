@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationcast.operators import features, fill, metrics, split
+from stationcast.operators.ordered import measure
 from stationcast.plans import scoring, training
-from stationcast.schema import DATE, FILLED_POLLUTANTS, STATION, TARGET
+from stationcast.schema import DATE, FILLED_POLLUTANTS, STATION
 from stationcast.session import scratch_path
 from stationcast.sources import derived, feed
 
@@ -17,43 +18,63 @@ MODELS = ("Persistence1", "Persistence7", "WeekMean")
 STD = 8.5
 
 
-def panel(spark: SparkSession, sf: str) -> DataFrame:
-    return derived.panel(spark, sf)
+def panel(spark: SparkSession, sf: str, grain: str = "nation") -> DataFrame:
+    return derived.panel(spark, sf, grain)
 
 
-def raw(spark: SparkSession, sf: str) -> DataFrame:
-    return derived.raw_readings(spark, sf)
+def raw(spark: SparkSession, sf: str, grain: str = "nation") -> DataFrame:
+    return derived.raw_readings(spark, sf, grain)
+
+
+def arranged(days: DataFrame) -> dict:
+    """Options for all steps after ``days``: measured once, no ties."""
+    return {**UNIQUE, "sizes": measure(days)}
 
 
 def filled(spark: SparkSession, sf: str) -> DataFrame:
     return fill.forward_fill(panel(spark, sf), FILLED_POLLUTANTS, **UNIQUE)
 
 
+def _target(days: DataFrame, known: dict) -> DataFrame:
+    return fill.impute_target(fill.forward_fill(days, FILLED_POLLUTANTS, **known), **known)
+
+
 def target(spark: SparkSession, sf: str) -> DataFrame:
-    return fill.impute_target(filled(spark, sf), **UNIQUE)
+    days = panel(spark, sf)
+    return _target(days, arranged(days))
 
 
-def history(spark: SparkSession, sf: str) -> DataFrame:
-    return features.build_features(filled(spark, sf), complete=False, **UNIQUE)
+def feature_rows(
+    spark: SparkSession, sf: str, complete: bool = True, grain: str = "nation"
+) -> DataFrame:
+    days = panel(spark, sf, grain)
+    known = arranged(days)
+    return features.build_features(
+        fill.forward_fill(days, FILLED_POLLUTANTS, **known), complete=complete, **known
+    )
 
 
-def feature_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return features.build_features(filled(spark, sf), **UNIQUE)
+def history(spark: SparkSession, sf: str) -> DataFrame:
+    return feature_rows(spark, sf, complete=False)
 
 
 def split_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return split.add_split(target(spark, sf), **UNIQUE)
+    days = panel(spark, sf)
+    known = arranged(days)
+    return split.add_split(_target(days, known), **known)
 
 
-def predictions(spark: SparkSession, sf: str) -> DataFrame:
+def predictions(spark: SparkSession, sf: str, grain: str = "nation") -> DataFrame:
     """Three naive models over the split rows, with side and fold block."""
-    rows = split_rows(spark, sf).withColumn(
+    days = panel(spark, sf, grain)
+    known = arranged(days)
+    rows = split.add_split(_target(days, known), **known).withColumn(
         "train_size", F.floor(F.col("series_size") * F.lit(1.0 - 0.2))
     )
     blocks = split.add_segments(rows, size="train_size").withColumn(
         "block", F.when(F.col("is_train"), F.col("block"))
     )
-    naive = scoring.naive_forecasts(blocks, **UNIQUE)
+    naive = scoring.naive_forecasts(blocks, **known)
     return naive.filter(F.col("prediction").isNotNull()).select(
         "model",
         F.when(F.col("is_train"), "train").otherwise("test").alias("side"),
@@ -93,6 +114,3 @@ def landed_messages(spark: SparkSession, sf: str, files: int = 2) -> str:
 def live(spark: SparkSession, sf: str) -> DataFrame:
     return feed.read_live(spark, landed_messages(spark, sf))
 
-
-def with_label(df: DataFrame) -> DataFrame:
-    return df.withColumn("label", F.col(TARGET))

@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from stationcast.operators import features, fill
 from stationcast.operators.metrics import METRICS, evaluate
 from stationcast.plans import scoring, training
 from stationcast.plans.stages import MedianImputer, PanelFeatures, PanelFeaturesModel
-from stationcast.schema import CONTEXT_POLLUTANTS, DATE, SERVING_FEATURES, STATION
+from stationcast.schema import (
+    CONTEXT_POLLUTANTS,
+    DATE,
+    FILLED_POLLUTANTS,
+    SERVING_FEATURES,
+    STATION,
+)
 from stationcast.session import scratch_path
 from stationcast.sources.artifacts import load_artifacts, metadata_table
 from stationcast.streaming import live
@@ -21,14 +28,21 @@ from .registry import query, rounded
 
 def _rows(spark, sf):
     """Feature rows with the two raw calendar columns, for all stations."""
-    rows = base.feature_rows(spark, sf)
+    return _with_raw_calendar(base.feature_rows(spark, sf))
+
+
+def _with_raw_calendar(rows):
     return rows.withColumns({"periode_data": F.year(DATE) * 100 + F.month(DATE), "bulan": F.month(DATE)})
 
 
 def _train(spark, sf, *names, folds=True, **changes):
     configured = training.model_configurations()
-    chosen = {n: (lambda make=configured[n]: make(**changes)) for n in names}
-    return training.train_all(_rows(spark, sf), chosen, folds=folds, columns=SERVING_FEATURES)
+    chosen = {n: (lambda make=configured[n]: make(**changes)) for n in names or configured}
+    days = base.panel(spark, sf)
+    known = base.arranged(days)
+    filled = fill.forward_fill(days, FILLED_POLLUTANTS, **known)
+    rows = _with_raw_calendar(features.build_features(filled, **known))
+    return training.train_all(rows, chosen, folds=folds, columns=SERVING_FEATURES, **known)
 
 
 def _metrics_of(spark, sf, name):
@@ -87,7 +101,7 @@ def m12(spark, sf):
 
 @query("m13_train_all_models")
 def m13(spark, sf):
-    trained = training.train_all(_rows(spark, sf), columns=SERVING_FEATURES)
+    trained = _train(spark, sf)
     status = F.lit("failed")
     for name, word in trained.status.items():
         status = F.when(F.col("model") == name, word).otherwise(status)
@@ -115,7 +129,7 @@ def m17_station(spark, sf):
     return fitted.transform(base.raw(spark, sf)).select(STATION, DATE, "pm25", "pm25_lag_1", "month", "season")
 
 
-@query("s7_saved_features", sql("select count(*) as rows, count(pm25_lag_30) as n_lag_30, count(distinct station) as stations, cast(30 as int) as n_features from feat", "feat"))
+@query("s7_saved_features", sql("select count(*) as rows, count(pm25_lag_30) as n_lag_30, count(distinct station) as stations, cast(38 as int) as n_features from feat", "feat"))
 def s7(spark, sf):
     path = scratch_path(spark, "features")
     PanelFeatures().fit(base.raw(spark, sf)).write().save(path)

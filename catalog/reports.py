@@ -156,23 +156,24 @@ def a10_station(spark, sf):
     return rounded(reports.histogram(base.panel(spark, sf), bins=15, by=(STATION,)), *BIN)
 
 
-BOX = """
-select is_train, q[1] as q1, q[2] as median, q[3] as q3, min(pm25) filter (pm25 >= lo and pm25 <= hi) as whisker_low,
-  max(pm25) filter (pm25 >= lo and pm25 <= hi) as whisker_high, count(*) filter (pm25 < lo or pm25 > hi) as outliers, round(avg(pm25), 6) as mean, count(*) as n
+def _box(v):
+    return f"""
+select is_train, q[1] as q1, q[2] as median, q[3] as q3, min({v}) filter ({v} >= lo and {v} <= hi) as whisker_low,
+  max({v}) filter ({v} >= lo and {v} <= hi) as whisker_high, count(*) filter ({v} < lo or {v} > hi) as outliers, round(avg({v}), 6) as mean, count({v}) as n
 from split join (select is_train, q, q[1] - 1.5 * (q[3] - q[1]) as lo, q[3] + 1.5 * (q[3] - q[1]) as hi
-  from (select is_train, quantile_cont(pm25, [0.25, 0.5, 0.75]) as q from split group by is_train)) using (is_train)
+  from (select is_train, quantile_cont({v}, [0.25, 0.5, 0.75]) as q from split group by is_train)) using (is_train)
 group by is_train, q"""
 
 
-@query("a11_box_summary", sql(f"select is_train, {r('q1', 'median', 'q3')}, whisker_low, whisker_high, outliers, mean, n from ({BOX})", "split"))
+@query("a11_box_summary", sql(f"select is_train, {r('q1', 'median', 'q3')}, whisker_low, whisker_high, outliers, mean, n from ({_box('pm25')})", "split"))
 def a11(spark, sf):
     return rounded(reports.box_summary(base.split_rows(spark, sf)), "q1", "median", "q3", "mean")
 
 
-@query("a11_outliers", sql(f"select s.is_train, station, obs_date, pm25 from split s join ({BOX}) b on s.is_train = b.is_train where pm25 < whisker_low or pm25 > whisker_high", "split"))
+@query("a11_outliers", sql(f"select s.is_train, station, obs_date, so2 * co as load from split s join ({_box('so2 * co')}) b on s.is_train = b.is_train where so2 * co < whisker_low or so2 * co > whisker_high", "split"))
 def a11_rows(spark, sf):
-    rows = base.split_rows(spark, sf).select("is_train", STATION, DATE, TARGET)
-    return reports.outliers(rows)
+    rows = base.split_rows(spark, sf)
+    return reports.outliers(rows.select("is_train", STATION, DATE, (F.col("so2") * F.col("co")).alias("load")), "load")
 
 
 @query("a12_medians", sql(" union all ".join(f"select '{c}' as \"column\", round(median({c}), 6) as median from split where is_train" for c in CONTEXT_POLLUTANTS), "split"))
@@ -185,7 +186,7 @@ CORR = ["pm25", "pm10", "so2", "co", "o3"]
 
 
 @query("a13_correlation", sql(" union all ".join(
-    f"select '{a}' as column_a, '{b}' as column_b, " + ("cast(1.0 as double)" if a == b else f"round(corr({a}, {b}), 6)") + " as correlation from panel"
+    f"select '{a}' as column_a, '{b}' as column_b, " + ("min(cast(1.0 as double))" if a == b else f"round(corr({a}, {b}), 6)") + " as correlation from panel"
     for a in CORR for b in CORR), "panel"))
 def a13(spark, sf):
     return rounded(reports.correlation(base.panel(spark, sf), CORR), "correlation")
@@ -602,7 +603,7 @@ COMPARED = ["train_mae", "test_mae", "test_rmse", "test_mape"]
 
 
 @query("r11_metric_correlation", sql(" union all ".join(
-    f"select '{a}' as column_a, '{b}' as column_b, " + ("cast(1.0 as double)" if a == b else f"round(corr({a}, {b}), 6)") + " as correlation from cmp"
+    f"select '{a}' as column_a, '{b}' as column_b, " + ("min(cast(1.0 as double))" if a == b else f"round(corr({a}, {b}), 6)") + " as correlation from cmp"
     for a in COMPARED for b in COMPARED), "cmp"))
 def r11(spark, sf):
     return rounded(reports.correlation(base.comparison(spark, sf), COMPARED), "correlation")

@@ -23,7 +23,6 @@ from ..schema import (
     TARGET,
 )
 from .fill import forward_fill, forward_fill_global
-from .ordered import MAX_ROWS
 
 
 def clean_column_names(df: DataFrame) -> DataFrame:
@@ -116,8 +115,7 @@ def clean_readings(
     df: DataFrame,
     strict_day: bool = False,
     scope: str = "station",
-    tiebreak: Sequence[str] | None = None,
-    max_rows: int = MAX_ROWS,
+    **arranged,
 ) -> DataFrame:
     """The whole cleaning chain, raw text to filled panel.
 
@@ -126,8 +124,8 @@ def clean_readings(
     """
     typed = typed_readings(df, strict_day).drop(RAW_DAY)
     if scope == "global":
-        return forward_fill_global(typed, POLLUTANTS, tiebreak=tiebreak, max_rows=max_rows)
-    return forward_fill(typed, FILLED_POLLUTANTS, tiebreak=tiebreak, max_rows=max_rows)
+        return forward_fill_global(typed, POLLUTANTS, **arranged)
+    return forward_fill(typed, FILLED_POLLUTANTS, **arranged)
 
 
 def only_station(df: DataFrame, station: str) -> DataFrame:

@@ -9,10 +9,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.calendar import with_calendar
-from ..schema import CHANGES, DATE, LAGS, ROLLING_STATS, ROLLING_WINDOWS, STATION, TARGET
-from .cleaning import drop_incomplete
+from ..schema import (
+    CHANGES,
+    DATE,
+    FILLED_POLLUTANTS,
+    LAGS,
+    RAW_DAY,
+    ROLLING_STATS,
+    ROLLING_WINDOWS,
+    STATION,
+    TARGET,
+)
+from .cleaning import drop_incomplete, typed_readings
 from .fill import impute_series
-from .ordered import MAX_ROWS, Ordered, arrange
+from .ordered import Ordered, arrange
 
 # Columns that never are features.
 EXCLUDED = (DATE, STATION, "kategori")
@@ -91,12 +101,13 @@ def history_features(series: Ordered, column: str = TARGET) -> Ordered:
     )
 
 
+def feature_series(series: Ordered) -> Ordered:
+    """Impute the target, then history columns: no further shuffle or sort."""
+    return history_features(impute_series(series))
+
+
 def build_features(
-    df: DataFrame,
-    station: str | None = None,
-    complete: bool = True,
-    tiebreak: Sequence[str] | None = None,
-    max_rows: int = MAX_ROWS,
+    df: DataFrame, station: str | None = None, complete: bool = True, **arranged
 ) -> DataFrame:
     """The whole feature chain: impute the target, calendar, history, complete rows.
 
@@ -104,8 +115,26 @@ def build_features(
     """
     if station is not None:
         df = df.filter(F.col(STATION) == station)
-    series = impute_series(arrange(df, tiebreak=tiebreak, max_rows=max_rows))
-    out = with_calendar(history_features(series).result())
+    out = with_calendar(feature_series(arrange(df, **arranged)).result())
+    return drop_incomplete(out) if complete else out
+
+
+def features_from_raw(
+    raw: DataFrame,
+    station: str | None = None,
+    complete: bool = True,
+    strict_day: bool = False,
+    **arranged,
+) -> DataFrame:
+    """Raw text to feature rows, cleaning and features on one arrangement.
+
+    One measurement, one shuffle and one sort for fill, imputation and history.
+    """
+    typed = typed_readings(raw, strict_day).drop(RAW_DAY)
+    if station is not None:
+        typed = typed.filter(F.col(STATION) == station)
+    series = arrange(typed, **arranged).fill(FILLED_POLLUTANTS)
+    out = with_calendar(feature_series(series).result())
     return drop_incomplete(out) if complete else out
 
 

@@ -8,33 +8,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import DATE, FILLED_POLLUTANTS, POLLUTANTS, STATION, TARGET
-from .ordered import MAX_ROWS, Ordered, arrange
+from .ordered import Ordered, arrange
 
 
 def forward_fill(
     df: DataFrame,
     columns: Sequence[str] = FILLED_POLLUTANTS,
-    keys: Sequence[str] = (STATION,),
-    order: Sequence[str] = (DATE,),
-    tiebreak: Sequence[str] | None = None,
-    max_rows: int = MAX_ROWS,
+    **arranged,
 ) -> DataFrame:
     """Carry the last known value forward inside each station.
 
-    Rows without a station come out null.
+    Rows without a station come out null. ``arranged`` goes to :func:`arrange`,
+    here and in all operators that take it.
     """
-    return arrange(df, keys, order, tiebreak, max_rows).fill(columns).result()
+    return arrange(df, **arranged).fill(columns).result()
 
 
 def forward_fill_global(
     df: DataFrame,
     columns: Sequence[str] = POLLUTANTS,
     order: Sequence[str] = (DATE, STATION),
-    tiebreak: Sequence[str] | None = None,
-    max_rows: int = MAX_ROWS,
+    **arranged,
 ) -> DataFrame:
     """Carry values forward in date order across all stations."""
-    return arrange(df, (), order, tiebreak, max_rows).fill(columns).result()
+    return arrange(df, (), order, **arranged).fill(columns).result()
 
 
 def interpolate(series: Ordered, column: str = TARGET) -> Ordered:
@@ -60,15 +57,8 @@ def interpolate(series: Ordered, column: str = TARGET) -> Ordered:
     return Ordered(filled.parts, series.columns, series.loose)
 
 
-def interpolate_target(
-    df: DataFrame,
-    column: str = TARGET,
-    keys: Sequence[str] = (STATION,),
-    order: Sequence[str] = (DATE,),
-    tiebreak: Sequence[str] | None = None,
-    max_rows: int = MAX_ROWS,
-) -> DataFrame:
-    return interpolate(arrange(df, keys, order, tiebreak, max_rows), column).result()
+def interpolate_target(df: DataFrame, column: str = TARGET, **arranged) -> DataFrame:
+    return interpolate(arrange(df, **arranged), column).result()
 
 
 def impute_series(series: Ordered, column: str = TARGET) -> Ordered:
@@ -82,26 +72,13 @@ def impute_series(series: Ordered, column: str = TARGET) -> Ordered:
     return filled.map(lambda df: df.filter(F.col(column).isNotNull()))
 
 
-def impute_target(
-    df: DataFrame,
-    column: str = TARGET,
-    keys: Sequence[str] = (STATION,),
-    order: Sequence[str] = (DATE,),
-    tiebreak: Sequence[str] | None = None,
-    max_rows: int = MAX_ROWS,
-) -> DataFrame:
-    return impute_series(arrange(df, keys, order, tiebreak, max_rows), column).result()
+def impute_target(df: DataFrame, column: str = TARGET, **arranged) -> DataFrame:
+    return impute_series(arrange(df, **arranged), column).result()
 
 
-def imputation_report(
-    df: DataFrame,
-    column: str = TARGET,
-    keys: Sequence[str] = (STATION,),
-    order: Sequence[str] = (DATE,),
-    tiebreak: Sequence[str] | None = None,
-) -> DataFrame:
+def imputation_report(df: DataFrame, column: str = TARGET, **arranged) -> DataFrame:
     """Missing counts of the target before, after the fill and after interpolation."""
-    series = arrange(df, keys, order, tiebreak)
+    series = arrange(df, **arranged)
     filled = series.fill([column], into=lambda c: f"_{c}_filled").result()
     missing = F.count_if(F.col(f"_{column}_filled").isNull())
     rows = F.count(F.lit(1))

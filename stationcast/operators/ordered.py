@@ -2,8 +2,8 @@
 
 Lags, rolling frames, fills and row numbers need the rows of one series in
 order. ``Window.partitionBy(station)`` does that with one shuffle, but puts all
-rows of a station into one task. :func:`arrange` therefore counts rows per
-series first:
+rows of a station into one task. :func:`arrange` therefore looks at
+the rows per series first (:func:`measure`):
 
 * No series above ``max_rows``: plain windows over the series keys.
 * Otherwise the big series are range-sorted on (keys, order) and cut into
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -255,12 +256,44 @@ class Ordered:
         return df.select(*[f"`{c}`" for c in [*first, *[c for c in df.columns if c not in first]]])
 
 
+@dataclass(frozen=True)
+class Sizes:
+    """Rows in total, in the largest series, and in each series above the limit.
+
+    ``big`` maps the key values of big series to their row counts; there are
+    fewer than MAX_PIECES of them, since each holds more than ``limit`` rows and
+    ``limit`` is at least total / MAX_PIECES.
+    """
+
+    total: int
+    largest: int
+    limit: int
+    big: tuple[tuple[tuple, int], ...] = ()
+
+
+def measure(df: DataFrame, keys: Sequence[str] = (STATION,), max_rows: int = MAX_ROWS) -> Sizes:
+    """Series sizes of ``df``, from one aggregate over the key columns.
+
+    Dropping rows or adding columns later keeps the result good as an upper
+    bound, so one measurement serves a whole chain of operators.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    total, largest = counts.agg(F.sum("_rows"), F.max("_rows")).first()
+    total, largest = total or 0, largest or 0
+    limit = max(max_rows, math.ceil(total / MAX_PIECES))
+    if largest <= limit or not keys:
+        return Sizes(total, largest, limit)
+    rows = counts.filter(F.col("_rows") > limit).select(*keys, "_rows").collect()
+    return Sizes(total, largest, limit, tuple((tuple(r)[:-1], r["_rows"]) for r in rows))
+
+
 def arrange(
     df: DataFrame,
     keys: Sequence[str] = (STATION,),
     order: Sequence[str] = (DATE,),
     tiebreak: Sequence[str] | None = None,
     max_rows: int = MAX_ROWS,
+    sizes: Sizes | None = None,
 ) -> Ordered:
     """Arrange ``df`` into series by ``keys``, ordered by ``order``.
 
@@ -268,37 +301,31 @@ def arrange(
     all columns, so that results do not depend on the layout of the input. Pass
     an empty tiebreak when (keys, order) is known to be unique.
 
-    One aggregate over the key columns decides between windows per series and
+    ``sizes``, measured here unless given, decide between windows per series and
     windows per segment. The whole table taken as one series (no keys) always
     goes by segment.
     """
     keys, columns = tuple(keys), df.columns
+    sizes = sizes or measure(df, keys, max_rows)
     if tiebreak is None:
         df = df.withColumn(TIE, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
         tiebreak = (TIE,)
     order = tuple(dict.fromkeys([*order, *tiebreak]))
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    total, largest = counts.agg(F.sum("_rows"), F.max("_rows")).first()
-    if keys and (largest or 0) <= max_rows:
-        return Ordered([Part(df, keys, order)], columns)
-
-    limit = max(max_rows, math.ceil((total or 0) / MAX_PIECES))
     if not keys:
-        pieces = max(2, math.ceil((total or 0) / limit))
+        pieces = max(2, math.ceil(sizes.total / sizes.limit))
         return Ordered([Part(_cut(df, keys, order, pieces), keys, order, True)], columns)
 
-    # fewer than MAX_PIECES keys can each hold more than total / MAX_PIECES rows
-    big = counts.filter(F.col("_rows") > limit).collect()
-    loose = None
-    if any(None in tuple(row) for row in big):
+    big, loose = sizes.big, None
+    if any(None in values for values, _ in big):
         no_key = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
         loose, df = df.filter(no_key), df.filter(~no_key)
-        big = [row for row in big if None not in tuple(row)]
+        big = tuple(item for item in big if None not in item[0])
     if not big:
         return Ordered([Part(df, keys, order)], columns, loose)
-    big_keys = F.broadcast(df.sparkSession.createDataFrame(big, counts.schema).select(*keys))
+    schema = df.select(*keys).schema
+    big_keys = F.broadcast(df.sparkSession.createDataFrame([values for values, _ in big], schema))
     small = df.join(big_keys, list(keys), "left_anti")
-    pieces = max(2, math.ceil(sum(row["_rows"] for row in big) / limit))
+    pieces = max(2, math.ceil(sum(n for _, n in big) / sizes.limit))
     cut = _cut(df.join(big_keys, list(keys), "left_semi"), keys, order, pieces)
     return Ordered([Part(small, keys, order), Part(cut, keys, order, True)], columns, loose)
 

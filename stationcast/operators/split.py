@@ -7,24 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import DATE, STATION
-from .ordered import MAX_ROWS, arrange
+from ..schema import DATE
+from .ordered import arrange
 
 
 def add_split(
     df: DataFrame,
     test_size: float = 0.2,
-    keys: Sequence[str] = (STATION,),
-    order: Sequence[str] = (DATE,),
-    tiebreak: Sequence[str] | None = None,
-    max_rows: int = MAX_ROWS,
+    **arranged,
 ) -> DataFrame:
     """Flag the first ``int(n * (1 - test_size))`` rows of each series as train.
 
     Adds ``position`` (1-based), ``series_size`` and ``is_train``. With no keys
     the whole table is one series.
     """
-    numbered = arrange(df, keys, order, tiebreak, max_rows).number("position", "series_size")
+    numbered = arrange(df, **arranged).number("position", "series_size")
     share = 1.0 - test_size
     return numbered.result().withColumn(
         "is_train", F.col("position") <= F.floor(F.col("series_size") * F.lit(share))
@@ -53,12 +50,9 @@ def add_segments(
 def add_folds(
     df: DataFrame,
     max_folds: int = 5,
-    keys: Sequence[str] = (STATION,),
-    order: Sequence[str] = (DATE,),
-    tiebreak: Sequence[str] | None = None,
-    max_rows: int = MAX_ROWS,
+    **arranged,
 ) -> DataFrame:
-    numbered = arrange(df, keys, order, tiebreak, max_rows).number("position", "series_size")
+    numbered = arrange(df, **arranged).number("position", "series_size")
     return add_segments(numbered.result(), max_folds)
 
 
@@ -77,12 +71,11 @@ def sorted_band(
     df: DataFrame,
     std: float | str = "residual_std",
     keys: Sequence[str] = ("model",),
-    tiebreak: Sequence[str] | None = None,
-    max_rows: int = MAX_ROWS,
+    **arranged,
 ) -> DataFrame:
     """Rows numbered by actual value, with a band of one ``std`` around the prediction."""
     width = F.col(std) if isinstance(std, str) else F.lit(std)
-    ranked = arrange(df, keys, ("label",), tiebreak, max_rows).number("sample").result()
+    ranked = arrange(df, keys, ("label",), **arranged).number("sample").result()
     return ranked.withColumns(
         {"lower": F.col("prediction") - width, "upper": F.col("prediction") + width}
     )

@@ -296,7 +296,7 @@ def one_prediction(predictions: DataFrame, station: str, date: str) -> DataFrame
     return predictions.filter((F.col(STATION) == station) & (F.col(DATE) == F.lit(date).cast(T.DateType())))
 
 
-def naive_forecasts(df: DataFrame, tiebreak: Sequence[str] | None = None) -> DataFrame:
+def naive_forecasts(df: DataFrame, **arranged) -> DataFrame:
     """Three baselines per row: yesterday, a week ago and the mean of the last week.
 
     ``model, station, obs_date, label, prediction``; the mean covers the seven
@@ -312,7 +312,7 @@ def naive_forecasts(df: DataFrame, tiebreak: Sequence[str] | None = None) -> Dat
         }
 
     names = ("Persistence1", "Persistence7", "WeekMean")
-    wide = arrange(df, tiebreak=tiebreak).history(7, [TARGET], build).result()
+    wide = arrange(df, **arranged).history(7, [TARGET], build).result()
     rows = F.array(*[F.struct(F.lit(n).alias("model"), F.col(n).alias("prediction")) for n in names])
     rest = [c for c in wide.columns if c not in names]
     return wide.select(*rest, F.inline(rows)).withColumn("label", F.col(TARGET))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.cleaning import clean_readings
-from ..operators.features import build_features, feature_columns, richest_station
+from ..operators.features import feature_columns, features_from_raw, richest_station
 from ..operators.quantiles import medians
 
 
@@ -77,12 +77,11 @@ class PanelFeatures(Estimator, _PanelParams, DefaultParamsReadable, DefaultParam
 
     def _fit(self, dataset: DataFrame) -> PanelFeaturesModel:
         station = self.getOrDefault(self.station)
-        clean = clean_readings(dataset)
         if not station and self.getOrDefault(self.bestStation):
-            best = richest_station(clean).first()
+            best = richest_station(clean_readings(dataset)).first()
             station = best["station"] if best else ""
-        # column names and types are known without running the chain on data
-        columns = feature_columns(build_features(clean, station or None))
+        # names and types are known from the plan of an empty input
+        columns = feature_columns(features_from_raw(dataset.limit(0)))
         return PanelFeaturesModel(station=station, columns=columns)
 
 
@@ -98,4 +97,4 @@ class PanelFeaturesModel(Model, _PanelParams, DefaultParamsReadable, DefaultPara
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         station = self.getOrDefault(self.station)
-        return build_features(clean_readings(dataset), station or None)
+        return features_from_raw(dataset, station or None)

@@ -118,14 +118,14 @@ def training_rows(
     allow_lagged: bool = False,
     columns: Sequence[str] | None = None,
     max_folds: int = 5,
-    keys: Sequence[str] = (STATION,),
+    **arranged,
 ) -> tuple[DataFrame, list[str]]:
     """Split rows with label, side, fold block and the features that may be used.
 
     Fold blocks number the training rows of each series only.
     """
     chosen = list(columns or leakage_free(feature_columns(features), TARGET, allow_lagged))
-    split = add_split(features.filter(F.col(TARGET).isNotNull()), test_size, keys)
+    split = add_split(features.filter(F.col(TARGET).isNotNull()), test_size, **arranged)
     split = split.withColumn("_train_size", F.floor(F.col("series_size") * F.lit(1.0 - test_size)))
     blocks = add_segments(split, max_folds, size="_train_size").withColumn(
         "block", F.when(F.col("is_train"), F.col("block"))
