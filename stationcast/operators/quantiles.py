@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import MAX_ROWS, arrange
+from ..session import durable
+from .ordered import MAX_ROWS, Sizes, arrange, measure
 
 
 def tall(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -31,7 +32,13 @@ def exact_quantiles(
     """
     keys = [*by, "column"]
     counted = tall(df, columns, by).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_times"))
-    series = arrange(counted, keys, ("value",), (), max_rows)
+    rows = df.count()
+    if rows <= max_rows:  # then no column has more distinct values than that either
+        sizes = Sizes(rows, rows, max_rows)
+    else:
+        counted = durable(counted, "counted")
+        sizes = measure(counted, keys, max_rows)
+    series = arrange(counted, keys, ("value",), (), sizes=sizes)
     ranked = series.running_sum("_times", "_upto", "_size").result()
 
     def wanted(p: float) -> tuple[Column, Column]:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers
 from ..operators import metrics, selection
 from ..operators.bias import overall_bias
-from ..operators.features import feature_columns, known_columns, leakage_free
+from ..operators.features import feature_columns, leakage_free
 from ..operators.split import add_segments, add_split
 from ..schema import DATE, STATION, TARGET
 from ..session import ensure_checkpoint_dir
@@ -150,13 +150,13 @@ def prepare(features: DataFrame, **options) -> Prepared:
     """
     rows, chosen = training_rows(features, **options)
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    known = known_columns(rows.filter("is_train"), chosen)
+    imputer = MedianImputer(inputCols=chosen).fit(rows.filter("is_train"))
+    known = imputer.getOrDefault(imputer.inputCols)
     if not known:
         rows.unpersist()
         raise ValueError("no feature has a value in the training rows")
-    stages = Pipeline(
-        stages=[MedianImputer(inputCols=known), VectorAssembler(inputCols=known, outputCol="features")]
-    ).fit(rows.filter("is_train"))
+    assembler = VectorAssembler(inputCols=known, outputCol="features")
+    stages = PipelineModel(stages=[imputer, assembler])
     ready = stages.transform(rows).select(
         STATION, DATE, "label", "is_train", "block", "fold_count", "features"
     )
