@@ -230,7 +230,11 @@ def correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         varies = (F.min(F.when(known, x)) < F.max(F.when(known, x))) & (
             F.min(F.when(known, y)) < F.max(F.when(known, y))
         )
-        return F.when(varies, F.lit(1.0) if a == b else F.corr(x, y))
+        if a == b:
+            return F.when(varies, F.lit(1.0))
+        # the built-in corr divides by zero for a constant column in ANSI mode
+        spread = F.stddev_pop(F.when(known, x)) * F.stddev_pop(F.when(known, y))
+        return F.when(varies, F.try_divide(F.covar_pop(x, y), spread))
 
     one = df.agg(*[corr(a, b).alias(f"_c{i}") for i, (a, b) in enumerate(pairs)])
     rows = []
