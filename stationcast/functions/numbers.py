@@ -15,7 +15,7 @@ NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def to_number(text: Column) -> Column:
-    """Text to double; malformed text becomes null, overflow an infinity (see below)."""
+    """Text to double; malformed text becomes null (overflow: see ``finite``)."""
     text = text.cast("string")
     return F.when(text.rlike(NUMBER_PATTERN), F.trim(text)).try_cast("double")
 
@@ -25,10 +25,6 @@ def finite(value: Column) -> Column:
     return F.when(F.abs(value) < float("inf"), value)
 
 
-def no_nan(value: Column) -> Column:
-    return F.nanvl(value, F.lit(None).cast("double"))
-
-
 def lower_bound(value: Column, std: Column, k: float = 1.0) -> Column:
     return value - std * k
 

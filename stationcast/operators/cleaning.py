@@ -43,11 +43,16 @@ def null_tokens(df: DataFrame, tokens: Sequence[str] = NULL_TOKENS) -> DataFrame
 
 
 def coerce_numbers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Text to double; what is no number becomes null. Absent columns are skipped."""
+    """Text to double; what is no finite number becomes null. Absent columns are skipped."""
     wanted = columns if columns is not None else (*POLLUTANT_NAMES, *POLLUTANTS)
-    present = [c for c in df.columns if c in wanted]
-    typed = df.withColumns({c: numbers.to_number(F.col(c)) for c in present})
-    return typed.withColumns({c: numbers.finite(F.col(c)) for c in present})
+    kinds = {f.name: f.dataType for f in df.schema.fields if f.name in wanted}
+    typed = df.withColumns(
+        {
+            c: F.col(c).cast("double") if isinstance(t, T.NumericType) else numbers.to_number(F.col(c))
+            for c, t in kinds.items()
+        }
+    )
+    return typed.withColumns({c: numbers.finite(F.col(c)) for c in kinds})
 
 
 def reading_date(period: Column, day: Column, strict_day: bool = False) -> Column:

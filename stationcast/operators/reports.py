@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import DATE, NULL_TOKENS, RAW_STATION, STATION, TARGET
+from ..schema import DATE, NULL_TOKENS, STATION, TARGET
 from .features import latest_rows
 from .quantiles import exact_quantiles
 
@@ -276,12 +276,3 @@ def plausibility(
         F.coalesce(F.col(column) > threshold, F.lit(False)).alias("plausible"),
     )
 
-
-def raw_station_counts(df: DataFrame) -> DataFrame:
-    """Rows per station of the raw table, most rows first."""
-    return (
-        df.filter(F.col(RAW_STATION).isNotNull())
-        .groupBy(RAW_STATION)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), RAW_STATION)
-    )

@@ -11,7 +11,6 @@ from collections.abc import Callable, Sequence
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import levels, numbers
 from ..functions.calendar import days_ahead, with_serving_calendar
@@ -291,11 +290,6 @@ def batch_predict(raw: DataFrame, features: PanelFeaturesModel, artifacts: Artif
     return scored.select(STATION, DATE, "prediction", "lower", "upper")
 
 
-def one_prediction(predictions: DataFrame, station: str, date: str) -> DataFrame:
-    """The prediction of one station and day."""
-    return predictions.filter((F.col(STATION) == station) & (F.col(DATE) == F.lit(date).cast(T.DateType())))
-
-
 def naive_forecasts(df: DataFrame, **arranged) -> DataFrame:
     """Three baselines per row: yesterday, a week ago and the mean of the last week.
 

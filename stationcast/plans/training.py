@@ -19,7 +19,7 @@ from ..operators.bias import overall_bias
 from ..operators.features import feature_columns, leakage_free
 from ..operators.split import add_segments, add_split
 from ..schema import DATE, STATION, TARGET
-from ..session import ensure_checkpoint_dir
+from ..session import durable, ensure_checkpoint_dir
 from ..sources.artifacts import save_artifacts
 from .stages import MedianImputer
 
@@ -145,28 +145,25 @@ def training_rows(
 def prepare(features: DataFrame, **options) -> Prepared:
     """Numeric features, columns without any training value dropped, medians filled in.
 
-    The imputer sees training rows only. The result is persisted, spilling to
-    disk: each fit and each fold reads it again.
+    The imputer sees training rows only. The split rows are written once to the
+    shared folder, since every fit and fold starts from them: a lost executor
+    costs a scan, not the feature chain. The assembled rows are cached on top.
     """
     rows, chosen = training_rows(features, **options)
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = durable(rows, "training")
+    sides = rows.agg(F.count_if("is_train").alias("a"), F.count_if(~F.col("is_train")).alias("b")).first()
+    if not sides["a"] or not sides["b"]:
+        raise ValueError("train or test side is empty")
     imputer = MedianImputer(inputCols=chosen).fit(rows.filter("is_train"))
     known = imputer.getOrDefault(imputer.inputCols)
     if not known:
-        rows.unpersist()
         raise ValueError("no feature has a value in the training rows")
     assembler = VectorAssembler(inputCols=known, outputCol="features")
     stages = PipelineModel(stages=[imputer, assembler])
     ready = stages.transform(rows).select(
         STATION, DATE, "label", "is_train", "block", "fold_count", "features"
     )
-    ready = ready.persist(StorageLevel.MEMORY_AND_DISK)
-    empty = ready.agg(F.count_if("is_train").alias("a"), F.count_if(~F.col("is_train")).alias("b")).first()
-    rows.unpersist()
-    if not empty["a"] or not empty["b"]:
-        ready.unpersist()
-        raise ValueError("train or test side is empty")
-    return Prepared(ready, known, stages)
+    return Prepared(ready.persist(StorageLevel.MEMORY_AND_DISK), known, stages)
 
 
 def _scored(rows: DataFrame, fitted, name: str) -> DataFrame:
