@@ -101,3 +101,19 @@ def test_quantiles_of_many_values(skewed):
     want = skewed.toPandas().groupby("station").pm25.quantile(0.9)
     got = small.filter("probability = 0.9").toPandas().set_index("station").value
     assert got.round(9).to_dict() == want.round(9).to_dict()
+
+
+def test_history_leaves_bulk_rows_without_key_empty(days):
+    rows = [(None, i, float(i)) for i in range(40)] + [("a", i, float(i)) for i in range(30)] + [("b", 0, 1.0)]
+    df = days(rows)
+    same(features.add_lags(df, lags=[1, 3]), features.add_lags(df, lags=[1, 3], max_rows=12))
+    out = features.add_lags(df, lags=[1], max_rows=12)
+    assert out.columns == ["station", "obs_date", "pm25", "pm25_lag_1"]
+    assert out.filter("station IS NULL AND pm25_lag_1 IS NOT NULL").count() == 0
+    assert out.filter("station = 'a' AND pm25_lag_1 = pm25 - 1").count() == 29
+
+
+def test_interpolation_with_bulk_rows_without_key(days):
+    rows = [(None, i, None if i % 2 else 1.0) for i in range(30)]
+    rows += [("a", i, None if i % 3 else float(i)) for i in range(30)]
+    same(fill.interpolate_target(days(rows)), fill.interpolate_target(days(rows), max_rows=12))
