@@ -25,24 +25,15 @@ import regex
 from pyspark.sql import DataFrame
 
 from stationcast.llm.common import annotate
-from stationcast.llm.tokens import Memory, ragged
+from stationcast.llm.tokens import PIECES, Memory, byte_characters, ragged
 
-#: The byte-level pattern that cuts text into pieces (fixed value of this kind of vocabulary).
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces with more symbols get a tree of their own.
 TOGETHER = 64
 #: Tree nodes worked on at once.
-NODES = 1 << 21
+NODES = 1 << 19
 NONE = np.iinfo(np.int64).max
 
 
-def byte_characters() -> list[str]:
-    """The character that stands for each byte: itself if visible, else one from 256 on, in order."""
-    visible = {*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)}
-    hidden = [b for b in range(256) if b not in visible]
-    return [chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)]
-
-
 class Vocabulary:
     """Merge ranks, token bytes and special tokens of a vocabulary file."""
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 #: Text bytes worked on at once inside a task.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 
 
 _shipped: set[str] = set()
