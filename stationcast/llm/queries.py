@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationcast.llm import bpe, chunks, packing, quality, simhash, toxicity
+from stationcast.llm import bpe, chunks, packing, pages, quality, simhash, toxicity
 from stationcast.llm.common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+@query
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "pages").select(F.struct("page_id", "url").alias("page"), "html")
+    return pages.extract(raw, "page").select("page.page_id", "page.url", "text", "n_chars")
+
+
 @query
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
