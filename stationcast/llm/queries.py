@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationcast.llm import bpe, chunks, packing, pages, quality, simhash, toxicity
+from stationcast.llm import bpe, chunks, language, packing, pages, quality, simhash, toxicity
 from stationcast.llm.common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.in_training())
     scored = toxicity.toxicity(docs, model)
     return scored.select("doc_id", F.coalesce(~toxicity.in_training(), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.fit(docs, language.in_training()))
+    return found.select("doc_id", F.coalesce(~language.in_training(), F.lit(False)).alias("held_out"), "lang_pred", "score")
