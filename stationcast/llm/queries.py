@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationcast.llm import bpe, chunks, language, packing, pages, quality, simhash, toxicity
+from stationcast.llm import bpe, chat, chunks, language, packing, pages, quality, simhash, toxicity
 from stationcast.llm.common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,31 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.fit(docs, language.in_training()))
     return found.select("doc_id", F.coalesce(~language.in_training(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op1_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
+ORACLE["op1_chat_snapshots"] = """
+WITH turns AS (
+    SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+), ordered AS (
+    SELECT *, row_number() OVER w AS position,
+        string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '') OVER w AS said,
+        count(*) OVER (PARTITION BY conv_id) AS n_turns
+    FROM turns
+    WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)
+), whole AS (
+    SELECT min(conv_id) AS conv_id, n_turns, said, count(*) AS n_copies FROM ordered WHERE position = n_turns GROUP BY n_turns, said
+), inner_prefix AS (
+    SELECT DISTINCT position, said FROM ordered WHERE position < n_turns
+), kept AS (
+    SELECT * FROM whole w WHERE NOT EXISTS (SELECT 1 FROM inner_prefix p WHERE p.position = w.n_turns AND p.said = w.said)
+)
+SELECT k.conv_id, CAST((o.position - 1) // 1000 AS BIGINT) AS part, k.n_turns, k.n_copies,
+    string_agg('<|im_start|>' || o.role || chr(10) || o.text || '<|im_end|>' || chr(10), '' ORDER BY o.position) AS text
+FROM kept k JOIN ordered o USING (conv_id)
+GROUP BY k.conv_id, (o.position - 1) // 1000, k.n_turns, k.n_copies
+"""
