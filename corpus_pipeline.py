@@ -10,19 +10,42 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
-from stationcast.llm import quality  # noqa: E402
+from stationcast.llm import packing, quality, simhash, toxicity  # noqa: E402
 from stationcast.llm.common import ship, table  # noqa: E402
+from stationcast.llm.queries import vocabulary  # noqa: E402
 from stationcast.session import durable  # noqa: E402
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a model of the labelled ones predicts to be toxic go."""
+    ship(spark)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.in_training())
+    return toxicity.keep_clean(docs, model)
+
+
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the quality rules go."""
     ship(spark)
     return quality.keep_good(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    ship(spark)
+    return simhash.keep_one(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of what is left, in sequences."""
+    ship(spark)
+    return packing.pack_documents(docs, vocabulary())
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
     ("quality", drop_low_quality),
+    ("simhash", drop_near_copies),
+    ("packing", pack),
 ]
 
 #: Trained models, zstandard and tokenizers are beyond SQL; tests/llm compares the stages with plain Python.

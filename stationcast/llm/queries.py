@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationcast.llm import bpe, chat, chunks, language, packing, pages, quality, simhash, toxicity
+from stationcast.llm import bpe, chat, chunks, language, packing, pages, quality, scoring, simhash, toxicity
 from stationcast.llm.common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,10 @@ SELECT k.conv_id, CAST((o.position - 1) // 1000 AS BIGINT) AS part, k.n_turns, k
 FROM kept k JOIN ordered o USING (conv_id)
 GROUP BY k.conv_id, (o.position - 1) // 1000, k.n_turns, k.n_copies
 """
+
+
+@query
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scoring.score_documents(table(spark, sf_dir, "documents"), scoring.in_training())
+    held_out = F.coalesce(~scoring.in_training(), F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
