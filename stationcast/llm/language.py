@@ -241,8 +241,9 @@ def training_rows(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col
     named = docs.filter(use & F.col(lang_col).isNotNull() & (F.length(text_col) <= MOST_CHARS))
     common = named.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).select(F.col(lang_col).alias("l"))
     hashed = named.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("h"))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")) <= PER_LANGUAGE
-    return hashed.join(F.broadcast(common), F.col("lang") == F.col("l"), "left_semi").filter(first).select("text", "lang")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    chosen = hashed.join(F.broadcast(common), F.col("lang") == F.col("l"), "left_semi").withColumn("place", place)
+    return chosen.filter(F.col("place") <= PER_LANGUAGE).select("text", "lang")
 
 
 def fit(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:

@@ -25,7 +25,7 @@ LEVEL = 3
 #: Lowest accepted ratio by length: prose of up to so many bytes stays above it.
 LOWEST = ((200, 0.42), (400, 0.40), (800, 0.38), (1600, 0.35), (3200, 0.33), (6400, 0.30), (float("inf"), 0.27))
 #: Highest accepted ratio: a part for noise in a printable alphabet and one for the frame of a short text.
-HIGHEST, FRAME_BYTES = 0.80, 40
+HIGHEST, FRAME_BYTES = 0.70, 40
 WINDOW = 8
 FIELDS = pa.schema(
     [
