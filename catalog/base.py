@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationcast.operators import features, fill, metrics, split
-from stationcast.operators.ordered import measure
+from stationcast.operators.ordered import MAX_ROWS, measure
 from stationcast.plans import scoring, training
 from stationcast.schema import DATE, FILLED_POLLUTANTS, STATION
 from stationcast.session import scratch_path
@@ -26,29 +26,33 @@ def raw(spark: SparkSession, sf: str, grain: str = "nation") -> DataFrame:
     return derived.raw_readings(spark, sf, grain)
 
 
-def arranged(days: DataFrame) -> dict:
+#: A limit that every series of the test panel exceeds, for the plan of large series.
+SEGMENT_ROWS = 200
+
+
+def arranged(days: DataFrame, max_rows: int = MAX_ROWS) -> dict:
     """Options for all steps after ``days``: measured once, no ties."""
-    return {**UNIQUE, "sizes": measure(days)}
+    return {**UNIQUE, "sizes": measure(days, max_rows=max_rows)}
 
 
-def filled(spark: SparkSession, sf: str) -> DataFrame:
-    return fill.forward_fill(panel(spark, sf), FILLED_POLLUTANTS, **UNIQUE)
+def filled(spark: SparkSession, sf: str, max_rows: int = MAX_ROWS) -> DataFrame:
+    return fill.forward_fill(panel(spark, sf), FILLED_POLLUTANTS, **UNIQUE, max_rows=max_rows)
 
 
 def _target(days: DataFrame, known: dict) -> DataFrame:
     return fill.impute_target(fill.forward_fill(days, FILLED_POLLUTANTS, **known), **known)
 
 
-def target(spark: SparkSession, sf: str) -> DataFrame:
+def target(spark: SparkSession, sf: str, max_rows: int = MAX_ROWS) -> DataFrame:
     days = panel(spark, sf)
-    return _target(days, arranged(days))
+    return _target(days, arranged(days, max_rows))
 
 
 def feature_rows(
-    spark: SparkSession, sf: str, complete: bool = True, grain: str = "nation"
+    spark: SparkSession, sf: str, complete: bool = True, grain: str = "nation", max_rows: int = MAX_ROWS
 ) -> DataFrame:
     days = panel(spark, sf, grain)
-    known = arranged(days)
+    known = arranged(days, max_rows)
     return features.build_features(
         fill.forward_fill(days, FILLED_POLLUTANTS, **known), complete=complete, **known
     )
@@ -58,9 +62,9 @@ def history(spark: SparkSession, sf: str) -> DataFrame:
     return feature_rows(spark, sf, complete=False)
 
 
-def split_rows(spark: SparkSession, sf: str) -> DataFrame:
+def split_rows(spark: SparkSession, sf: str, max_rows: int = MAX_ROWS) -> DataFrame:
     days = panel(spark, sf)
-    known = arranged(days)
+    known = arranged(days, max_rows)
     return split.add_split(_target(days, known), **known)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from stationcast.operators import cleaning, features, fill, split
@@ -18,7 +20,7 @@ from stationcast.sources import readings
 
 from . import base, ctes
 from .ctes import CALENDAR, GLOBAL_FILLS, sql
-from .registry import query, rounded
+from .registry import again, query, rounded
 
 RAW_LIST = ", ".join(RAW_COLUMNS)
 PANEL_LIST = "station, obs_date, pm25, pm10, so2, co, o3, no2, max_idx"
@@ -47,25 +49,40 @@ def s1(spark, sf):
 
 @query(
     "s2_land_csv",
-    sql(f"select count(*) as rows, cast(11 as int) as columns, '{','.join(RAW_COLUMNS)}' as column_names from raw", "raw"),
+    sql(
+        "select count(*) as rows, cast(11 as int) as columns, 'periode_data,tanggal,stasiun,pm_duakomalima,pm_sepuluh,"
+        "sulfur_dioksida,karbon_monoksida,ozon,nitrogen_dioksida,max,bulan' as column_names from raw",
+        "raw",
+    ),
 )
 def s2(spark, sf):
-    report = readings.land_readings(spark, _csv(spark, sf), scratch_path(spark, "landed"))
-    names = F.array_join(F.array_sort(F.split("column_names", ",")), ",")
-    wanted = ",".join(sorted(RAW_COLUMNS))
-    return report.withColumn(
-        "column_names", F.when(names == wanted, ",".join(RAW_COLUMNS)).otherwise(F.col("column_names"))
-    )
+    return readings.land_readings(spark, _csv(spark, sf), scratch_path(spark, "landed"))
+
+
+@query(
+    "s1_csv_other_orders",
+    sql(
+        f"select {RAW_LIST.replace('bulan', 'cast(bulan as varchar) as bulan')}, "
+        "case when length(tanggal) = 1 then stasiun end as note from raw",
+        "raw",
+    ),
+)
+def s1_other_orders(spark, sf):
+    """Two files with their columns in different orders, one with a column more."""
+    path = scratch_path(spark, "csv")
+    rows = base.raw(spark, sf).coalesce(1)
+    short = F.length("tanggal") == 1
+    rows.filter(short).select(*reversed(RAW_COLUMNS), F.col("stasiun").alias("note")).write.option("header", True).csv(path)
+    rows.filter(~short | short.isNull()).write.mode("append").option("header", True).csv(path)
+    return readings.read_readings(spark, path)
 
 
-@query("s3_serving_scan", sql("select station, cast(year(obs_date) as int) as year, count(*) as n, count(pm25) as n_pm25 from clean group by 1, 2", "clean"))
+@query("s3_serving_scan", sql(f"select {PANEL_LIST} from clean where obs_date between date '1994-03-05' and date '1995-02-10'", "clean"))
 def s3(spark, sf):
     path = scratch_path(spark, "panel")
     readings.write_panel(cleaning.clean_readings(base.raw(spark, sf)), path)
-    stored = readings.read_panel(spark, path)
-    return stored.groupBy(STATION, F.year(DATE).alias("year")).agg(
-        F.count(F.lit(1)).alias("n"), F.count("pm25").alias("n_pm25")
-    )
+    stored = readings.read_panel(spark, path, "1994-03-05", "1995-02-10")
+    return stored.select(*PANEL_LIST.split(", "))
 
 
 @query("s4_live_feed", sql("select * from live", "live"))
@@ -142,6 +159,9 @@ def c8(spark, sf):
     return base.filled(spark, sf)
 
 
+again("c8_forward_fill", lambda spark, sf: base.filled(spark, sf, base.SEGMENT_ROWS))
+
+
 @query(
     "c9_forward_fill_global",
     sql(
@@ -264,6 +284,12 @@ def w5(spark, sf):
     return rounded(fill.interpolate_target(days, **base.UNIQUE), "pm25")
 
 
+@partial(again, "w5_interpolate")
+def w5_segments(spark, sf):
+    days = base.panel(spark, sf).select(STATION, DATE, "pm25")
+    return rounded(fill.interpolate_target(days, **base.UNIQUE, max_rows=base.SEGMENT_ROWS), "pm25")
+
+
 @query("w6_impute_target", sql("select station, obs_date, pm25, pm25_original from target", "target"))
 def w6(spark, sf):
     days = base.filled(spark, sf).select(STATION, DATE, "pm25")
@@ -320,11 +346,19 @@ def w7(spark, sf):
     return rounded(base.feature_rows(spark, sf), *STDS)
 
 
+again("w7_feature_chain", lambda spark, sf: rounded(base.feature_rows(spark, sf, max_rows=base.SEGMENT_ROWS), *STDS))
+
+
 @query("w8_split", sql("select station, obs_date, position, series_size, is_train from split", "split"))
 def w8(spark, sf):
     return base.split_rows(spark, sf).select(*HISTORY, "position", "series_size", "is_train")
 
 
+@partial(again, "w8_split")
+def w8_segments(spark, sf):
+    return base.split_rows(spark, sf, base.SEGMENT_ROWS).select(*HISTORY, "position", "series_size", "is_train")
+
+
 @query("w8_split_global", sql("""
 select station, obs_date, row_number() over (order by obs_date, station) as position, count(*) over () as series_size,
   row_number() over (order by obs_date, station) <= floor(count(*) over () * cast(0.8 as double)) as is_train from panel""", "panel"))
@@ -345,6 +379,12 @@ def w9(spark, sf):
     return split.add_folds(days, **base.UNIQUE)
 
 
+@partial(again, "w9_folds")
+def w9_segments(spark, sf):
+    days = base.target(spark, sf, base.SEGMENT_ROWS).select(*HISTORY)
+    return split.add_folds(days, **base.UNIQUE, max_rows=base.SEGMENT_ROWS)
+
+
 @query("w10_sorted_band", sql("""
 select model, station, obs_date, label, round(prediction, 6) as prediction, round(residual_std, 6) as residual_std,
   row_number() over (partition by model order by label, obs_date, station) as sample,

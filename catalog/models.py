@@ -6,7 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from stationcast.operators import features, fill
-from stationcast.operators.metrics import METRICS, evaluate
+from stationcast.operators.metrics import evaluate
 from stationcast.plans import scoring, training
 from stationcast.plans.stages import MedianImputer, PanelFeatures, PanelFeaturesModel
 from stationcast.schema import (
@@ -35,34 +35,67 @@ def _with_raw_calendar(rows):
     return rows.withColumns({"periode_data": F.year(DATE) * 100 + F.month(DATE), "bulan": F.month(DATE)})
 
 
-def _train(spark, sf, *names, folds=True, **changes):
+def _train(spark, sf, *names, folds=True, options=None, **changes):
     configured = training.model_configurations()
     chosen = {n: (lambda make=configured[n]: make(**changes)) for n in names or configured}
     days = base.panel(spark, sf)
     known = base.arranged(days)
     filled = fill.forward_fill(days, FILLED_POLLUTANTS, **known)
     rows = _with_raw_calendar(features.build_features(filled, **known))
-    return training.train_all(rows, chosen, folds=folds, columns=SERVING_FEATURES, **known)
+    return training.train_all(rows, chosen, folds=folds, columns=SERVING_FEATURES, **known, **(options or {}))
 
 
-def _metrics_of(spark, sf, name):
-    trained = _train(spark, sf, name, folds=False)
-    return trained.metrics.withColumn("status", F.lit(trained.status[name]))
+#: The feature rows as a training run splits them.
+TRAINED = """(select *, case when position <= floor(size * cast(0.8 as double)) then 'train' else 'test' end as side
+from (select *, row_number() over (partition by station order by obs_date) as position, count(*) over (partition by station) as size from feat))"""
 
 
-@query("m8_random_forest")
+def _sides(predictions):
+    """Rows, scored rows and labels of both sides."""
+    known = F.col("prediction").isNotNull() & ~F.isnan("prediction")
+    return rounded(predictions.groupBy("model", "side").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(known).alias("n_scored"), F.avg("label").alias("mean_label"),
+        F.min("label").alias("min_label"), F.max("label").alias("max_label"),
+    ), "mean_label")
+
+
+def _sides_sql(name: str, more: str = "") -> str:
+    return (
+        f"select '{name}' as model, side, count(*) as n, count(*) as n_scored, round(avg(pm25), 6) as mean_label,"
+        f" min(pm25) as min_label, max(pm25) as max_label{more} from {TRAINED} group by side"
+    )
+
+
+# a forest's prediction is a mean of training labels
+@query("m8_random_forest", sql(_sides_sql("RandomForest", ", count(*) as n_inside"), "feat"))
 def m8(spark, sf):
-    return _metrics_of(spark, sf, "RandomForest")
+    scored = _train(spark, sf, "RandomForest", folds=False).predictions
+    low, high = scored.filter("side = 'train'").agg(F.min("label"), F.max("label")).first()
+    inside = scored.filter(F.col("prediction").between(low - 1e-9, high + 1e-9)).groupBy("side").agg(F.count(F.lit(1)).alias("n_inside"))
+    return _sides(scored).join(F.broadcast(inside), "side")
 
 
-@query("m9_boosted_trees")
+@query("m9_boosted_trees", sql(_sides_sql("GradientBoosting"), "feat"))
 def m9(spark, sf):
-    return _metrics_of(spark, sf, "GradientBoosting")
+    return _sides(_train(spark, sf, "GradientBoosting", folds=False).predictions)
 
 
-@query("m10_linear_regression")
+# least squares with an intercept: on the training rows the residuals have mean zero and
+# are uncorrelated with every feature
+@query("m10_linear_regression", sql(f"""
+select s.*, round(a, 4) as mean_prediction, round(b, 3) as with_month, round(c, 3) as with_pm10
+from ({_sides_sql("LinearRegression")}) s left join (
+  select side, avg(pm25) as a, avg(pm25 * month(obs_date)) as b, avg(pm25 * pm10) as c from {TRAINED} where side = 'train' group by side
+) using (side)""", "feat"))
 def m10(spark, sf):
-    return _metrics_of(spark, sf, "LinearRegression")
+    rows = _train(spark, sf, "LinearRegression", folds=False).predictions
+    p = F.col("prediction")
+    pm10 = base.feature_rows(spark, sf).select(STATION, DATE, "pm10")
+    moments = rows.filter("side = 'train'").join(pm10, [STATION, DATE]).groupBy("side").agg(
+        F.round(F.avg(p), 4).alias("mean_prediction"), F.round(F.avg(p * F.month(DATE)), 3).alias("with_month"),
+        F.round(F.avg(p * F.col("pm10")), 3).alias("with_pm10"),
+    )
+    return _sides(rows).join(F.broadcast(moments), "side", "left")
 
 
 @query(
@@ -93,26 +126,77 @@ def m11(spark, sf):
     return rounded(out, *CONTEXT_POLLUTANTS)
 
 
-@query("m12_train_one_model")
+#: Fold blocks of the training rows of each station.
+FOLD_BLOCKS = f"""(select *, case when position - 1 < train_size - k * t then 0 else 1 + (position - 1 - (train_size - k * t)) // t end as block
+from (select *, train_size // (k + 1) as t from (select *, case when least(5, train_size // 10) >= 2 then least(5, train_size // 10) end as k
+from (select *, cast(floor(size * cast(0.8 as double)) as bigint) as train_size from {TRAINED} where side = 'train'))))"""
+
+
+def _folds_sql(models: str) -> str:
+    """Rows that each fold trains and tests on, and whether it gave an error, for each model."""
+    return f"""
+select m.model, cast(f.fold as int) as fold, count(*) filter (block < f.fold) as n_train, count(*) filter (block = f.fold) as n_test,
+  count(*) filter (block = f.fold) > 0 as measured
+from {FOLD_BLOCKS}, (select unnest([1, 2, 3, 4, 5]) as fold) f, (select unnest([{models}]) as model) m
+group by m.model, f.fold having count(*) filter (block = f.fold) > 0"""
+
+
+def _folds(trained):
+    """What the folds of a run were made of."""
+    train = trained.prepared.train
+    sizes = train.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter("block is not null").collect()  # six rows at most
+    count = {row["block"]: row["n"] for row in sizes}
+    rows = [(k, sum(n for b, n in count.items() if b < k), count[k]) for k in sorted(count) if k >= 1]
+    made = trained.folds.sparkSession.createDataFrame(rows, "fold int, n_train long, n_test long")
+    return trained.folds.join(F.broadcast(made), "fold").select(
+        "model", "fold", "n_train", "n_test", (F.col("fold_mae") >= 0).alias("measured")
+    )
+
+
+@query("m12_train_one_model", sql(_folds_sql("'LinearRegression'"), "feat"))
 def m12(spark, sf):
-    trained = _train(spark, sf, "LinearRegression")
-    return trained.comparison.withColumn("status", F.lit(trained.status["LinearRegression"]))
+    return _folds(_train(spark, sf, "LinearRegression"))
 
 
-@query("m13_train_all_models")
+@query("m13_train_all_models", sql(
+    _sides_sql("RandomForest") + " union all " + _sides_sql("GradientBoosting") + " union all " + _sides_sql("LinearRegression"), "feat"))
 def m13(spark, sf):
-    # folds are left to m12 and m14: six fits of 100 boosted trees take ten minutes on one machine
-    trained = _train(spark, sf, folds=False)
-    status = F.lit("failed")
-    for name, word in trained.status.items():
-        status = F.when(F.col("model") == name, word).otherwise(status)
-    return trained.comparison.withColumn("status", status)
+    return _sides(_train(spark, sf, folds=False).predictions)
 
 
-@query("m14_cross_validated_model")
+@query("m13_best_station", sql(f"""
+select side, count(*) as n, min(obs_date) as first_date, max(obs_date) as last_date, min(station) as station
+from {TRAINED} where station = (select station from feat group by station order by count(pm25) desc, station limit 1) group by side""", "feat"))
+def m13_station(spark, sf):
+    """Least squares on the station with most values."""
+    trained = _train(spark, sf, "LinearRegression", folds=False, options={"best_station": True})
+    return trained.predictions.groupBy("side").agg(
+        F.count("prediction").alias("n"), F.min(DATE).alias("first_date"), F.max(DATE).alias("last_date"), F.min(STATION).alias("station")
+    )
+
+
+@query("m13_pooled_by_date", sql("""
+select case when position <= floor(size * cast(0.8 as double)) then 'train' else 'test' end as side, count(*) as n,
+  min(obs_date) as first_date, max(obs_date) as last_date, count(distinct station) as stations
+from (select *, row_number() over (order by obs_date, station) as position, count(*) over () as size from feat) group by 1""", "feat"))
+def m13_pooled(spark, sf):
+    """Least squares on all stations with a station feature, all split at one date."""
+    rows = training.station_index(_rows(spark, sf))
+    trained = training.train_all(
+        rows, {"LinearRegression": training.linear_regression}, folds=False, by_date=True,
+        columns=[*SERVING_FEATURES, "station_index"], **base.UNIQUE,
+    )
+    return trained.predictions.groupBy("side").agg(
+        F.count("prediction").alias("n"), F.min(DATE).alias("first_date"), F.max(DATE).alias("last_date"),
+        F.count_distinct(STATION).alias("stations"),
+    )
+
+
+@query("m14_cross_validated_model", sql(_folds_sql("'LinearRegression'"), "feat"))
 def m14(spark, sf):
     prepared = training.prepare(_rows(spark, sf), columns=SERVING_FEATURES)
-    return training.cross_validate(prepared, training.linear_regression, "LinearRegression")
+    errors = training.cross_validate(prepared, training.linear_regression, "LinearRegression")
+    return _folds(training.Trained(prepared, {}, None, None, errors))
 
 
 CHAIN = "select *, cast(year(obs_date) * 100 + month(obs_date) as int) as periode_data, cast(month(obs_date) as int) as bulan from feat"
@@ -151,7 +235,7 @@ def _saved(spark, sf):
     return trained, load_artifacts(spark, path)
 
 
-@query("s5_s6_saved_model")
+@query("s5_s6_saved_model", sql("select station, count(*) as n, count(*) as n_equal from feat group by station", "feat"))
 def s5_s6(spark, sf):
     """Scores of the model as trained and as loaded, side by side, per station."""
     trained, loaded = _saved(spark, sf)
@@ -159,46 +243,85 @@ def s5_s6(spark, sf):
     kept = trained.models["LinearRegression"].transform(rows).select(STATION, DATE, F.col("prediction").alias("trained"))
     again = loaded.model.transform(rows).select(STATION, DATE, F.col("prediction").alias("loaded"))
     return kept.join(again, [STATION, DATE]).groupBy(STATION).agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("trained") - F.col("loaded"))).alias("largest_gap")
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("trained") == F.col("loaded")).alias("n_equal")
     )
 
 
-@query("s8_metadata")
+# rmse^2 = bias^2 + variance, so the figures saved with a model must agree with the rows scored
+@query("s8_metadata", sql(f"""
+select 'LinearRegression' as model_name, cast(16 as int) as n_features, count(*) as n_test, round(avg(pm25), 4) as mean_label
+from {TRAINED} where side = 'test'""", "feat"))
 def s8(spark, sf):
-    return metadata_table(spark, _saved(spark, sf)[1].metadata)
+    trained, loaded = _saved(spark, sf)
+    saved = metadata_table(spark, loaded.metadata)
+    test = trained.predictions.filter("side = 'test'").agg(
+        F.count(F.lit(1)).alias("n_test"), F.avg("prediction").alias("p"),
+        F.avg(F.pow(F.col("prediction") - F.col("label"), 2)).alias("mse"), F.avg(F.col("prediction") - F.col("label")).alias("gap"),
+    )
+    agrees = (F.abs(F.pow("test_rmse", 2) - F.col("mse")) < 1e-6) & (F.abs(F.abs("overall_bias") - F.abs("gap")) < 1e-6)
+    return saved.join(F.broadcast(test), agrees).select(
+        "model_name", F.col("n_features").cast("int").alias("n_features"), "n_test", F.round(F.col("p") - F.col("gap"), 4).alias("mean_label")
+    )
 
 
-@query("m18_batch_predict")
+@query("m18_batch_predict", sql("select station, obs_date, true as scored, cast(2 as double) as spread from feat", "feat"))
 def m18(spark, sf):
     _, loaded = _saved(spark, sf)
     raw = base.raw(spark, sf)
-    return scoring.batch_predict(raw, PanelFeatures().fit(raw), loaded)
+    out = scoring.batch_predict(raw, PanelFeatures().fit(raw), loaded)
+    spread = F.round((F.col("upper") - F.col("lower")) / loaded.residual_std, 6)
+    return out.select(STATION, DATE, F.col("prediction").isNotNull().alias("scored"), spread.alias("spread"))
 
 
-@query("m20_forecast_trained_model")
+@query("m20_forecast_trained_model", sql("""
+select station, cast(horizon as int) as horizon, obs_date as target_date, round(last_actual, 6) as last_actual, true as scored, cast(2 as double) as spread
+from scored where scenario = 'normal'""", "scored"))
 def m20(spark, sf):
     _, loaded = _saved(spark, sf)
     predict = scoring.model_predictor(loaded.model, loaded.feature_columns)
-    return scoring.forecast(base.filled(spark, sf), predict, loaded.residual_std)
+    out = scoring.forecast(base.filled(spark, sf), predict, loaded.residual_std)
+    spread = F.round((F.col("upper") - F.col("lower")) / loaded.residual_std, 6)
+    return out.select(
+        STATION, F.col("horizon").cast("int").alias("horizon"), "target_date", F.round("last_actual", 6).alias("last_actual"),
+        F.col("value").isNotNull().alias("scored"), spread.alias("spread"),
+    )
 
 
-@query("m21_scenarios_trained_model")
+@query("m21_scenarios_trained_model", sql("""
+select station, cast(horizon as int) as horizon, scenario, scenario_label, scenario = 'normal' as unchanged_if_normal from scored""", "scored"))
 def m21(spark, sf):
     _, loaded = _saved(spark, sf)
-    return scoring.simulate(base.filled(spark, sf), scoring.model_predictor(loaded.model))
+    out = scoring.simulate(base.filled(spark, sf), scoring.model_predictor(loaded.model))
+    same = (F.col("scenario") == "normal") & (F.col("delta") == 0) & (F.col("baseline") == F.col("simulated"))
+    return out.select(STATION, F.col("horizon").cast("int").alias("horizon"), "scenario", "scenario_label", same.alias("unchanged_if_normal"))
 
 
-@query("m23_score_recent_trained_model")
+@query("m23_score_recent_trained_model", sql("select station, obs_date, pm25 as label, true as consistent from recent where back <= 50", "recent"))
 def m23(spark, sf):
     _, loaded = _saved(spark, sf)
     predict = scoring.model_predictor(loaded.model)
-    return scoring.score_recent(base.filled(spark, sf), predict, loaded.residual_std)
+    out = scoring.score_recent(base.filled(spark, sf), predict, loaded.residual_std)
+    inside = (F.col("lower") < F.col("prediction")) & (F.col("prediction") < F.col("upper"))
+    sums = F.coalesce(F.abs(F.abs(F.col("label") - F.col("prediction")) - F.abs("residual")) < 1e-9, F.col("residual").isNull())
+    return out.select(STATION, DATE, "label", (inside & sums).alias("consistent"))
 
 
-@query("m5_trained_by_station")
+@query("m5_trained_by_station", sql(f"""
+select 'LinearRegression' as model, side, station, count(*) as n, true as ordered from {TRAINED} group by side, station""", "feat"))
 def m5(spark, sf):
     trained = _train(spark, sf, "LinearRegression", folds=False)
-    return evaluate(trained.predictions, by=("model", "side", STATION)).select("model", "side", STATION, "n", *METRICS)
+    found = evaluate(trained.predictions, by=("model", "side", STATION))
+    return found.select("model", "side", STATION, "n", (F.col("mae") <= F.col("rmse") + 1e-9).alias("ordered"))
+
+
+@query("t2_saved_model", sql("select reading_id, arrival_date, true as scored from live", "live"))
+def t2_saved(spark, sf):
+    """The stream scored by a model that was saved and loaded."""
+    _, loaded = _saved(spark, sf)
+    target = scratch_path(spark, "live")
+    predict = scoring.model_predictor(loaded.model, loaded.feature_columns)
+    live.score_live(spark, base.landed_messages(spark, sf), predict, target, scratch_path(spark, "progress")).awaitTermination()
+    return spark.read.parquet(target).select("reading_id", "arrival_date", F.col("value").isNotNull().alias("scored"))
 
 
 @query("t1_live_ingest", sql("select * from live", "live"))
@@ -221,3 +344,19 @@ def t2(spark, sf):
     live.score_live(spark, landing, base.linear, target, scratch_path(spark, "progress"), files_per_batch=1).awaitTermination()
     return rounded(spark.read.parquet(target), "value")
 
+
+
+@query("m13_full_run", sql(_folds_sql("'RandomForest', 'GradientBoosting', 'LinearRegression'"), "feat"))
+def m13_full(spark, sf):
+    """Raw text to a saved best model: features, three models with all folds, checks, choice, saving.
+
+    The rows are the folds of the three models; the model chosen is loaded again and must
+    be one of those with the least test error.
+    """
+    path = scratch_path(spark, "artifacts")
+    rows = _with_raw_calendar(features.features_from_raw(base.raw(spark, sf)))
+    trained = training.train_all(rows, columns=SERVING_FEATURES, **base.UNIQUE)
+    saved = training.choose_and_save(spark, trained, path)
+    if load_artifacts(spark, path).metadata["model_name"] != saved["model_name"]:
+        raise ValueError("the model saved is not the one chosen")
+    return _folds(trained)

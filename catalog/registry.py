@@ -25,6 +25,11 @@ def query(name: str, check: str | None = None):
     return keep
 
 
+def again(name: str, fn: Callable[[SparkSession, str], DataFrame], suffix: str = "segments") -> None:
+    """Register a query a second time over another plan, against the same check SQL."""
+    query(f"{name}_{suffix}", ORACLE[name])(fn)
+
+
 def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     """Round derived doubles, whose last bits depend on the order of summation."""
     return df.withColumns({c: F.round(c, places) for c in columns})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from stationcast.operators import bias, cleaning, features, metrics, quantiles, reports, selection, split
@@ -11,7 +13,7 @@ from stationcast.schema import CONTEXT_POLLUTANTS, DATE, SERVING_FEATURES, STATI
 from . import base, ctes
 from .cleaning import PANEL_LIST, STDS
 from .ctes import sql
-from .registry import query, rounded
+from .registry import again, query, rounded
 
 
 def r(*columns: str) -> str:
@@ -170,6 +172,11 @@ def a11(spark, sf):
     return rounded(reports.box_summary(base.split_rows(spark, sf)), "q1", "median", "q3", "mean")
 
 
+@partial(again, "a11_box_summary")
+def a11_segments(spark, sf):
+    return rounded(reports.box_summary(base.split_rows(spark, sf, base.SEGMENT_ROWS), max_rows=base.SEGMENT_ROWS), "q1", "median", "q3", "mean")
+
+
 @query("a11_outliers", sql(f"select s.is_train, station, obs_date, so2 * co as load from split s join ({_box('so2 * co')}) b on s.is_train = b.is_train where so2 * co < whisker_low or so2 * co > whisker_high", "split"))
 def a11_rows(spark, sf):
     rows = base.split_rows(spark, sf)
@@ -182,6 +189,13 @@ def a12(spark, sf):
     return rounded(quantiles.medians(train, CONTEXT_POLLUTANTS), "median")
 
 
+@partial(again, "a12_medians")
+def a12_segments(spark, sf):
+    train = base.split_rows(spark, sf, base.SEGMENT_ROWS).filter("is_train")
+    found = quantiles.exact_quantiles(train, CONTEXT_POLLUTANTS, [0.5], max_rows=base.SEGMENT_ROWS, bracket_rows=7_000)
+    return rounded(found.select("column", F.col("value").alias("median")), "median")
+
+
 CORR = ["pm25", "pm10", "so2", "co", "o3"]
 
 

@@ -7,14 +7,17 @@ the rows per series first (:func:`measure`):
 
 * No series above ``max_rows``: plain windows over the series keys.
 * Otherwise the big series are range-sorted on (keys, order) and cut into
-  *segments* of bounded size, however the rows are spread: one station, one
+  *segments* of ``max_rows`` rows, however the rows are spread: one station, one
   date or one group of equal rows may hold most of the table. Windows then run
   per (keys, segment), and what crosses a segment edge (last known value, row
   count, the last few rows) comes from a summary with one row per segment.
 
-The number of big series and of segments is bounded by ``MAX_PIECES``, since
-each holds more than 1/MAX_PIECES of all rows; this is what makes broadcasting
-their keys and summaries safe.
+Segments keep their size when the table grows; there are more of them. Summaries
+and keys of big series are broadcast up to ``MAX_PIECES`` rows, which is counted
+first, and joined on (keys, segment) beyond that.
+
+Rows without a series key belong to no series: fills, history, numbers and sums
+are null for them, however many there are.
 """
 
 from __future__ import annotations
@@ -26,34 +29,50 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..schema import DATE, STATION
+from ..schema import DATE, READINGS, STATION
 from ..session import durable
 
+#: Rows of a series that one window takes, and of a segment.
 MAX_ROWS = 2_000_000
+#: Rows of keys or summaries that are broadcast.
 MAX_PIECES = 10_000
 
 SEGMENT = "_segment"
 SEQUENCE = "_sequence"
 TIE = "_tie"
+OTHER_TIE = "_other_tie"
 HALO = "_halo"
-_HELPERS = (SEGMENT, SEQUENCE, TIE)
+KIND = "_kind"
+
+
+def attach(rows: DataFrame, groups: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Join a table with one row per group to rows of any skew.
+
+    The groups are written and counted; up to MAX_PIECES of them are broadcast, so that
+    rows of a few large groups stay where they are.
+    """
+    groups = durable(groups, "groups")
+    few = groups.limit(MAX_PIECES + 1).count() <= MAX_PIECES
+    return rows.join(F.broadcast(groups) if few else groups, list(on))
 
 
 class Part:
     """Rows of series that are all handled alike: whole, or cut into segments."""
 
     def __init__(
-        self, df: DataFrame, keys: Sequence[str], order: Sequence[str], segmented: bool = False
+        self, df: DataFrame, keys: Sequence[str], order: Sequence[str], segments: int = 0
     ):
         self.df = df
         self.keys = tuple(keys)
         self.order = tuple(order)
-        self.segmented = segmented
+        self.segments = segments
+        self.segmented = segments > 0
 
     def over(self, df: DataFrame) -> Part:
         """The same arrangement around changed rows (columns added or rows dropped)."""
-        return Part(df, self.keys, self.order, self.segmented)
+        return Part(df, self.keys, self.order, self.segments)
 
     # -- window building blocks -------------------------------------------
 
@@ -80,8 +99,10 @@ class Part:
         return Window.partitionBy(*self.keys).orderBy(SEGMENT).rowsBetween(start, end)
 
     def _attach(self, df: DataFrame, summary: DataFrame) -> DataFrame:
-        """Join a per-segment summary (at most 2 * MAX_PIECES rows) to the rows."""
-        return df.join(F.broadcast(summary), [*self.keys, SEGMENT], "left")
+        """Join a per-segment summary to the rows: broadcast while there are few, else by (keys, segment)."""
+        # a segment can hold the end of one series and the start of the next
+        few = self.segments <= MAX_PIECES
+        return df.join(F.broadcast(summary) if few else summary, [*self.keys, SEGMENT], "left")
 
     # -- operators ---------------------------------------------------------
 
@@ -123,7 +144,7 @@ class Part:
         added = {position: F.row_number().over(self.window).cast("long")}
         if size:
             added[size] = F.count(F.lit(1)).over(whole)
-        df = self.df.withColumns(added)
+        df = self.df.withColumns({name: self._keyed(e) for name, e in added.items()})
         if self.segmented:
             first, last = Window.unboundedPreceding, Window.unboundedFollowing
             summary = self._segments(F.count(F.lit(1)).alias("_count")).select(
@@ -146,7 +167,7 @@ class Part:
         added = {into: F.sum(weight).over(self.window.rowsBetween(first, 0))}
         if total:
             added[total] = F.sum(weight).over(Window.partitionBy(*self.partition))
-        df = self.df.withColumns(added)
+        df = self.df.withColumns({name: self._keyed(e) for name, e in added.items()})
         if self.segmented:
             summary = self._segments(F.sum(weight).alias("_sum")).select(
                 *self.keys,
@@ -190,8 +211,10 @@ class Part:
             .groupBy(*self.keys, SEGMENT)
             .agg(F.sort_array(F.collect_list(F.struct(SEQUENCE, F.struct(*needed).alias("row")))).alias("_tail"))
         )
-        # every segment has a row, so ``depth`` segments back are always enough
+        # every segment has a row, so ``depth`` segments back are always enough, and
+        # of their rows the last ``depth``
         before = F.flatten(F.collect_list("_tail").over(self._across(-depth, -1)))
+        before = F.slice(before, F.greatest(F.size(before) - depth + 1, F.lit(1)), depth)
         return (
             tails.select(*self.keys, SEGMENT, before.alias("_before"))
             .select(*self.keys, SEGMENT, F.explode("_before").alias("_kept"))
@@ -205,7 +228,7 @@ class Ordered:
 
     Small series go through plain windows, big ones by segment; ``loose`` holds
     rows without a series key when there are too many for one window. They take
-    part in no series and get nulls.
+    part in no series and get nulls, as such rows do inside a window.
     """
 
     def __init__(self, parts: Sequence[Part], columns: Sequence[str], loose: DataFrame | None = None):
@@ -236,10 +259,16 @@ class Ordered:
         return self._each(lambda part: part.fill(columns, forward, into), loose)
 
     def number(self, position: str = "_position", size: str | None = None) -> Ordered:
-        return self._each(lambda part: part.number(position, size))
+        return self._each(lambda part: part.number(position, size), self._nulls(position, size))
 
     def running_sum(self, weight: str, into: str, total: str | None = None) -> Ordered:
-        return self._each(lambda part: part.running_sum(weight, into, total))
+        return self._each(lambda part: part.running_sum(weight, into, total), self._nulls(into, total))
+
+    def _nulls(self, *names: str | None) -> DataFrame | None:
+        """The loose rows with empty columns of these names."""
+        if self.loose is None:
+            return None
+        return self.loose.withColumns({n: F.lit(None).cast("long") for n in names if n})
 
     def history(
         self, depth: int, inputs: Sequence[str], build: Callable[[WindowSpec], dict[str, Column]]
@@ -248,9 +277,10 @@ class Ordered:
 
     def result(self) -> DataFrame:
         """All rows without helper columns, in the column order of the input."""
-        tables = [part.df.drop(*_HELPERS) for part in self.parts]
+        helpers = [c for c in (SEGMENT, SEQUENCE, KIND, TIE, OTHER_TIE) if c not in self.columns]
+        tables = [part.df.drop(*helpers) for part in self.parts]
         if self.loose is not None:
-            tables.append(self.loose.drop(*_HELPERS))
+            tables.append(self.loose.drop(*helpers))
         df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
         first = [c for c in self.columns if c in df.columns]
         return df.select(*[f"`{c}`" for c in [*first, *[c for c in df.columns if c not in first]]])
@@ -258,17 +288,19 @@ class Ordered:
 
 @dataclass(frozen=True)
 class Sizes:
-    """Rows in total, in the largest series, and in each series above the limit.
+    """Rows in total, in the largest series and in all series above the limit.
 
-    ``big`` maps the key values of big series to their row counts; there are
-    fewer than MAX_PIECES of them, since each holds more than ``limit`` rows and
-    ``limit`` is at least total / MAX_PIECES.
+    ``big`` holds the keys of those series: a written table, which grows with the
+    rows divided by ``limit`` at most. ``n_big`` counts it.
     """
 
     total: int
     largest: int
     limit: int
-    big: tuple[tuple[tuple, int], ...] = ()
+    big: DataFrame | None = None
+    n_big: int = 0
+    big_rows: int = 0
+    loose: bool = False
 
 
 def measure(df: DataFrame, keys: Sequence[str] = (STATION,), max_rows: int = MAX_ROWS) -> Sizes:
@@ -277,14 +309,40 @@ def measure(df: DataFrame, keys: Sequence[str] = (STATION,), max_rows: int = MAX
     Dropping rows or adding columns later keeps the result good as an upper
     bound, so one measurement serves a whole chain of operators.
     """
+    keyed = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys], F.lit(True))
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    total, largest = counts.agg(F.sum("_rows"), F.max("_rows")).first()
-    total, largest = total or 0, largest or 0
-    limit = max(max_rows, math.ceil(total / MAX_PIECES))
-    if largest <= limit or not keys:
-        return Sizes(total, largest, limit)
-    rows = counts.filter(F.col("_rows") > limit).select(*keys, "_rows").collect()
-    return Sizes(total, largest, limit, tuple((tuple(r)[:-1], r["_rows"]) for r in rows))
+    if keys:
+        counts = durable(counts, "sizes")
+    above = F.col("_rows") > max_rows
+    total, largest, n_big, big_rows, loose = counts.agg(
+        F.coalesce(F.sum("_rows"), F.lit(0)),
+        F.coalesce(F.max("_rows"), F.lit(0)),
+        F.count_if(above & keyed),
+        F.coalesce(F.sum(F.when(above & keyed, F.col("_rows"))), F.lit(0)),
+        F.count_if(above & ~keyed) > 0,
+    ).first()
+    big = counts.filter(above & keyed).select(*keys) if keys and n_big else None
+    return Sizes(total, largest, max_rows, big, n_big, big_rows, loose)
+
+
+def _orderable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_orderable(f.dataType) for f in kind)
+    return _orderable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, T.MapType)
+
+
+def with_tie(df: DataFrame) -> DataFrame:
+    """``df`` with a column that orders rows equal in date, for a chain of operators to share.
+
+    :func:`arrange` uses and keeps such a column. Without it each call orders such rows
+    by a hash of their readings, so operators that add columns leave the order alone and
+    only those that change readings in between can change it.
+    """
+    return df.withColumn(TIE, F.xxhash64(*_hashable(df, df.columns)))
+
+
+def _hashable(df: DataFrame, names: Sequence[str]) -> list[Column]:
+    return [F.col(f"`{c}`") for c in names if _orderable(df.schema[c].dataType)] or [F.lit(0)]
 
 
 def arrange(
@@ -297,37 +355,46 @@ def arrange(
 ) -> Ordered:
     """Arrange ``df`` into series by ``keys``, ordered by ``order``.
 
-    Rows equal in ``order`` are ordered by ``tiebreak``; by default by a hash of
-    all columns, so that results do not depend on the layout of the input. Pass
-    an empty tiebreak when (keys, order) is known to be unique.
+    Rows equal in ``order`` are ordered by ``tiebreak``. By default that is the column
+    of :func:`with_tie` if there is one, else a hash of the readings and then one of all
+    other columns, so that results depend neither on the layout of the input nor on
+    columns added on the way. Pass an empty tiebreak when (keys, order) is known to be
+    unique.
 
     ``sizes``, measured here unless given, decide between windows per series and
-    windows per segment. The whole table taken as one series (no keys) always
-    goes by segment.
+    windows per segment; both give the same rows. The whole table taken as one series
+    (no keys) always goes by segment.
     """
     keys, columns = tuple(keys), df.columns
     sizes = sizes or measure(df, keys, max_rows)
-    if tiebreak is None:
-        df = df.withColumn(TIE, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    if tiebreak is None and TIE in columns:
         tiebreak = (TIE,)
+    elif tiebreak is None:
+        own = [c for c in columns if c in READINGS]
+        rest = [c for c in columns if c not in READINGS]
+        df = df.withColumns({TIE: F.xxhash64(*_hashable(df, own)), OTHER_TIE: F.xxhash64(*_hashable(df, rest))})
+        tiebreak = (TIE, OTHER_TIE)
     order = tuple(dict.fromkeys([*order, *tiebreak]))
     if not keys:
         pieces = max(2, math.ceil(sizes.total / sizes.limit))
-        return Ordered([Part(_cut(df, keys, order, pieces), keys, order, True)], columns)
-
-    big, loose = sizes.big, None
-    if any(None in values for values, _ in big):
-        no_key = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
-        loose, df = df.filter(no_key), df.filter(~no_key)
-        big = tuple(item for item in big if None not in item[0])
-    if not big:
-        return Ordered([Part(df, keys, order)], columns, loose)
-    schema = df.select(*keys).schema
-    big_keys = F.broadcast(df.sparkSession.createDataFrame([values for values, _ in big], schema))
-    small = df.join(big_keys, list(keys), "left_anti")
-    pieces = max(2, math.ceil(sum(n for _, n in big) / sizes.limit))
-    cut = _cut(df.join(big_keys, list(keys), "left_semi"), keys, order, pieces)
-    return Ordered([Part(small, keys, order), Part(cut, keys, order, True)], columns, loose)
+        return Ordered([Part(_cut(df, keys, order, pieces), keys, order, pieces)], columns)
+    if sizes.big is None and not sizes.loose:
+        return Ordered([Part(df, keys, order)], columns)
+    # one pass says what each row is; the parts are read from the written table
+    no_key = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
+    kind = F.when(no_key, "loose") if sizes.loose else F
+    if sizes.big is not None:
+        big = sizes.big.withColumn("_big", F.lit(True))
+        df = df.join(F.broadcast(big) if sizes.n_big <= MAX_PIECES else big, list(keys), "left")
+        kind = kind.when(F.col("_big"), "big")
+    tagged = durable(df.withColumn(KIND, kind.otherwise("small")).drop("_big"), "kinds", by=[KIND])
+    parts = [Part(tagged.filter(F.col(KIND) == "small"), keys, order)]
+    if sizes.big is not None:
+        pieces = max(2, math.ceil(sizes.big_rows / sizes.limit))
+        cut = _cut(tagged.filter(F.col(KIND) == "big"), keys, order, pieces)
+        # a series that ends inside a piece shares it with the next one
+        parts.append(Part(cut, keys, order, pieces + sizes.n_big))
+    return Ordered(parts, columns, tagged.filter(F.col(KIND) == "loose") if sizes.loose else None)
 
 
 def _cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], pieces: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..schema import DATE, NULL_TOKENS, STATION, TARGET
 from .features import latest_rows
+from .ordered import MAX_ROWS, attach
 from .quantiles import exact_quantiles
 
 
@@ -134,7 +135,8 @@ def histogram(
     one range (default: all of it).
     """
     shared = list(edges or by)
-    rows = df.filter(F.col(column).isNotNull())
+    rows = df.filter(F.col(column).isNotNull()).groupBy(*by, *[c for c in shared if c not in by], column)
+    rows = rows.agg(F.count(F.lit(1)).alias("_times"))  # equal values are counted before any shuffle
     lo, hi = F.min(column), F.max(column)
     flat = lo == hi
     span = rows.groupBy(*shared).agg(
@@ -142,7 +144,7 @@ def histogram(
         F.when(flat, hi + 0.5).otherwise(hi).alias("_hi"),
     )
     if shared:
-        placed = rows.join(span, shared)
+        placed = attach(rows, span, shared)
     else:
         placed = rows.withColumns(
             {"_lo": span.select("_lo").scalar(), "_hi": span.select("_hi").scalar()}
@@ -150,7 +152,7 @@ def histogram(
     width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
     index = F.least(F.floor((F.col(column) - F.col("_lo")) / width), F.lit(bins - 1)).cast("int")
     # counts per (group, bin) are combined before the shuffle
-    counts = placed.groupBy(*by, index.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = placed.groupBy(*by, index.alias("bin")).agg(F.sum("_times").alias("n"))
     totals = counts.groupBy(*by).agg(F.sum("n").alias("_total"))
     if by:
         frame = totals.join(span, shared) if shared else totals
@@ -176,9 +178,14 @@ def histogram(
     )
 
 
-def box_summary(df: DataFrame, column: str = TARGET, by: Sequence[str] = ("is_train",)) -> DataFrame:
-    """Quartiles, whiskers within 1.5 IQR, outlier count, mean and size per group."""
-    quartiles = exact_quantiles(df, [column], [0.25, 0.5, 0.75], by)
+def box_summary(
+    df: DataFrame, column: str = TARGET, by: Sequence[str] = ("is_train",), max_rows: int = MAX_ROWS
+) -> DataFrame:
+    """Quartiles, whiskers within 1.5 IQR, outlier count, mean and size per group.
+
+    The input is read several times; write an expensive one first.
+    """
+    quartiles = exact_quantiles(df, [column], [0.25, 0.5, 0.75], by, max_rows)
     boxes = quartiles.groupBy(*by).agg(
         *[
             F.max(F.when(F.col("probability") == p, F.col("value"))).alias(n)
@@ -193,7 +200,7 @@ def box_summary(df: DataFrame, column: str = TARGET, by: Sequence[str] = ("is_tr
     value = F.col("_v")
     inside = value.between(F.col("q1") - reach, F.col("q3") + reach)
     return (
-        counted.join(boxes, list(by))
+        attach(counted, boxes, by)
         .groupBy(*by, "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, value)).alias("whisker_low"),
@@ -210,7 +217,7 @@ def outliers(df: DataFrame, column: str = TARGET, by: Sequence[str] = ("is_train
     boxes = box_summary(df, column, by).select(*by, "whisker_low", "whisker_high")
     value = F.col(column)
     return (
-        df.join(boxes, list(by))
+        attach(df, boxes, by)
         .filter((value < F.col("whisker_low")) | (value > F.col("whisker_high")))
         .drop("whisker_low", "whisker_high")
     )

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -16,7 +18,8 @@ from pyspark.sql import functions as F
 from ..functions import numbers
 from ..operators import metrics, selection
 from ..operators.bias import overall_bias
-from ..operators.features import feature_columns, leakage_free
+from ..operators.features import feature_columns, leakage_free, select_station
+from ..operators.ordered import arrange, attach
 from ..operators.split import add_segments, add_split
 from ..schema import DATE, STATION, TARGET
 from ..session import durable, ensure_checkpoint_dir
@@ -24,6 +27,10 @@ from ..sources.artifacts import save_artifacts
 from .stages import MedianImputer
 
 SEED = 42
+#: Fits of one model that run at a time.
+PARALLEL = 4
+
+log = logging.getLogger(__name__)
 
 
 def random_forest(**changes) -> RandomForestRegressor:
@@ -118,13 +125,23 @@ def training_rows(
     allow_lagged: bool = False,
     columns: Sequence[str] | None = None,
     max_folds: int = 5,
+    station: str | None = None,
+    best_station: bool = False,
+    by_date: bool = False,
     **arranged,
 ) -> tuple[DataFrame, list[str]]:
     """Split rows with label, side, fold block and the features that may be used.
 
-    Fold blocks number the training rows of each series only.
+    Fold blocks number the training rows only. ``station`` or ``best_station`` (most
+    known targets) keeps one station. Otherwise each station is split at its own share
+    of rows, or all of them at one date with ``by_date``, so that no model learns from
+    days after the first test day.
     """
+    if station is not None or best_station:
+        features = select_station(features, station)
     chosen = list(columns or leakage_free(feature_columns(features), TARGET, allow_lagged))
+    if by_date:
+        arranged = {"keys": (), "order": (DATE, STATION), "tiebreak": arranged.get("tiebreak")}
     split = add_split(features.filter(F.col(TARGET).isNotNull()), test_size, **arranged)
     split = split.withColumn("_train_size", F.floor(F.col("series_size") * F.lit(1.0 - test_size)))
     blocks = add_segments(split, max_folds, size="_train_size").withColumn(
@@ -178,22 +195,39 @@ def _scored(rows: DataFrame, fitted, name: str) -> DataFrame:
     )
 
 
-def cross_validate(prepared: Prepared, make: Callable[[], Estimator], name: str) -> DataFrame | None:
+def station_index(df: DataFrame, name: str = "station_index") -> DataFrame:
+    """``df`` with the place of its station among all station names, as a model feature.
+
+    The index is a table joined to the rows; only its size reaches the driver.
+    """
+    names = df.select(STATION).filter(F.col(STATION).isNotNull()).distinct()
+    index = arrange(names, (), (STATION,), ()).number(name).result()
+    return attach(df, index.withColumn(name, F.col(name).cast("int")), [STATION])
+
+
+def _fold_error(prepared: Prepared, make: Callable[[], Estimator], k: int) -> float | None:
+    fitted = make().fit(prepared.train.filter(F.col("block") < k))
+    tested = fitted.transform(prepared.train.filter(F.col("block") == k))
+    return tested.agg(metrics.mae(F.col("label"), F.col("prediction"))).first()[0]
+
+
+def cross_validate(
+    prepared: Prepared, make: Callable[[], Estimator], name: str, parallel: int = PARALLEL
+) -> DataFrame | None:
     """Expanding folds: train on the blocks before k, measure MAE on block k.
 
-    None when no series is long enough for two folds. The loop is over folds
-    (five at most); each fit is a distributed job.
+    None when no series is long enough for two folds. The folds (five at most) do not
+    depend on each other; their distributed fits are submitted ``parallel`` at a time.
     """
     most = prepared.train.agg(F.max("fold_count")).first()[0]
     if not most:
         return None
-    out = []
-    for k in range(1, most + 1):
-        fitted = make().fit(prepared.train.filter(F.col("block") < k))
-        tested = fitted.transform(prepared.train.filter(F.col("block") == k))
-        error = metrics.mae(F.col("label"), F.col("prediction"))
-        out.append(tested.agg(error.alias("fold_mae")).select(F.lit(name).alias("model"), F.lit(k).alias("fold"), "fold_mae"))
-    return reduce(DataFrame.unionByName, out).filter(F.col("fold_mae").isNotNull())
+    spark = prepared.rows.sparkSession
+    one = inheritable_thread_target(spark)(lambda k: _fold_error(prepared, make, k))
+    with ThreadPoolExecutor(parallel) as pool:
+        errors = list(pool.map(one, range(1, most + 1)))
+    rows = [(name, k, e) for k, e in enumerate(errors, 1) if e is not None]
+    return spark.createDataFrame(rows, "model string, fold int, fold_mae double")
 
 
 def train_model(
@@ -238,7 +272,9 @@ def train_all(
         try:
             model, predictions, errors = train_model(prepared, make, name, folds)
         except Exception as problem:  # one model must not take the run with it
-            status[name] = f"failed: {type(problem).__name__}"
+            log.exception("training %s failed", name)
+            said = str(problem).strip().splitlines()
+            status[name] = f"failed: {type(problem).__name__}: {said[0] if said else ''}"
             continue
         fitted[name] = model
         scored.append(predictions)
@@ -246,8 +282,9 @@ def train_all(
             fold_tables.append(errors)
     if not scored:
         return Trained(prepared, {}, None, None, None, status)
-    predictions = reduce(DataFrame.unionByName, scored)
-    table = metrics.evaluate(predictions)
+    # written once: checks, metrics, bias and charts all read them
+    predictions = durable(reduce(DataFrame.unionByName, scored), "predictions")
+    table = durable(metrics.evaluate(predictions), "metrics")
     return Trained(
         prepared,
         fitted,

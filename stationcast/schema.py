@@ -27,7 +27,10 @@ RAW_CATEGORY = "kategori"
 # The text cells that mean "missing".
 NULL_TOKENS = ("N/A", "null", "TIDAK ADA DATA")
 
+# The engine's columns, in their order.
 POLLUTANTS = ("pm25", "pm10", "so2", "co", "o3", "no2", "max_idx")
+#: Columns that tell two readings of a station and day apart.
+READINGS = POLLUTANTS
 FILLED_POLLUTANTS = ("pm25", "pm10", "so2", "co", "o3", "no2")
 CONTEXT_POLLUTANTS = ("pm10", "so2", "co", "o3", "no2", "max_idx")
 
@@ -37,6 +40,7 @@ ROLLING_WINDOWS = (7, 14, 30)
 ROLLING_STATS = ("mean", "std", "min", "max")
 CHANGES = {"pm25_day_change": 1, "pm25_week_change": 7}
 
+# Calendar columns of a model's input, in their order.
 CALENDAR_FEATURES = (
     "periode_data",
     "bulan",
@@ -51,11 +55,13 @@ CALENDAR_FEATURES = (
 )
 SERVING_FEATURES = CONTEXT_POLLUTANTS + CALENDAR_FEATURES
 
+# Columns of a raw file.
 RAW_COLUMNS = (RAW_PERIOD, RAW_DAY, RAW_STATION, *POLLUTANT_NAMES, RAW_MONTH)
 RAW_SCHEMA = T.StructType(
     [T.StructField(name, T.StringType()) for name in (*RAW_COLUMNS, RAW_CATEGORY)]
 )
 
+# Fields of a live reading.
 LIVE_SCHEMA = T.StructType(
     [
         T.StructField(

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local($|\[)", spark.sparkContext.master):  # not local-cluster: its executors are processes
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stationcast-"))
     return spark.sparkContext.getCheckpointDir()
@@ -53,12 +55,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
-def durable(df: DataFrame, name: str = "stage") -> DataFrame:
+#: Tables written by this process, until they are released.
+_written: list[str] = []
+
+
+def durable(df: DataFrame, name: str = "stage", by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
     Later stages see exactly these rows, read only the columns they need, and
     survive the loss of any executor. (A checkpoint would compute ``df`` twice.)
+    ``by`` names columns of which later stages read one value each.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that :func:`durable` has written, when nothing reads them any more."""
+    for path in _written:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _written.clear()

@@ -4,17 +4,30 @@ from __future__ import annotations
 
 import csv
 import io
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import RAW_SCHEMA
+from ..schema import DATE, RAW_SCHEMA, STATION
 
 
-def _header(spark: SparkSession, path: str) -> list[str]:
-    line = spark.read.text(path).first()
-    return next(csv.reader(io.StringIO(line.value))) if line else []
+def _headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The files below ``path`` by their header line.
+
+    One line of each file is read. Files that begin with a line of the same text share
+    an entry, so what reaches the driver is a path per file.
+    """
+    lines = spark.read.text(path, wholetext=False).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value",
+        F.monotonically_increasing_id().alias("n"),
+    )
+    first = lines.filter(F.col("at") == 0).groupBy("file").agg(F.min_by("value", "n").alias("line"))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for row in first.orderBy("file").collect():
+        found.setdefault(tuple(next(csv.reader(io.StringIO(row.line)))), []).append(row.file)
+    return found
 
 
 def read_readings(
@@ -22,14 +35,26 @@ def read_readings(
 ) -> DataFrame:
     """CSV with a header, every column as text.
 
-    The column list comes from the header line, so extra columns pass through;
-    types are never inferred. Give ``schema`` to fix the columns instead. Empty
+    The columns of each file come from its own header line, so files may order them
+    differently and have columns of their own; a column that a file lacks is null. Types
+    are never inferred. With ``schema`` a file whose header differs is an error. Empty
     cells are null; other missing-value words are a cleaning matter.
     """
-    if schema is None:
-        names = _header(spark, path)
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names]) if names else RAW_SCHEMA
-    return spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path)
+    headers = _headers(spark, path)
+    if schema is not None:
+        other = [f for names, files in headers.items() if list(names) != schema.names for f in files]
+        if other:
+            raise ValueError(f"files with another header than {schema.names}: {other[:5]}")
+        headers = {tuple(schema.names): [path]}
+    tables = []
+    for names, files in headers.items():
+        if len(set(names)) < len(names):
+            raise ValueError(f"a column name is given twice in {files[0]}: {list(names)}")
+        kinds = schema or T.StructType([T.StructField(n, T.StringType()) for n in names])
+        tables.append(spark.read.schema(kinds).option("header", True).option("enforceSchema", True).csv(files if len(headers) > 1 else path))
+    if not tables:
+        return spark.createDataFrame([], schema or RAW_SCHEMA)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
 def land_readings(spark: SparkSession, path: str, target: str) -> DataFrame:
@@ -51,10 +76,21 @@ def read_landed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_panel(df: DataFrame, path: str, date: str = "obs_date") -> None:
-    """Store a clean panel partitioned by year, for partition pruning."""
-    df.withColumn("_year", F.year(date)).write.mode("overwrite").partitionBy("_year").parquet(path)
+def write_panel(df: DataFrame, path: str, date: str = DATE, files_per_year: int = 8) -> None:
+    """Store a clean panel partitioned by year, ``files_per_year`` files at most for each."""
+    share = F.pmod(F.xxhash64(*[c for c in (STATION, date) if c in df.columns]), F.lit(files_per_year))
+    dated = df.withColumn("_year", F.year(date)).withColumn("_share", share)
+    dated.repartition("_year", "_share").drop("_share").write.mode("overwrite").partitionBy("_year").parquet(path)
 
 
-def read_panel(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("_year")
+def read_panel(
+    spark: SparkSession, path: str, first: str | None = None, last: str | None = None, date: str = DATE
+) -> DataFrame:
+    """A stored panel, or its days from ``first`` to ``last``; only the years in between are read."""
+    df = spark.read.parquet(path)
+    for day, inside in ((first, ">="), (last, "<=")):
+        if day is not None:
+            at = F.to_date(F.lit(str(day)))
+            year = F.lit(int(str(day)[:4]))
+            df = df.filter((F.col(date) >= at) & (F.col("_year") >= year) if inside == ">=" else (F.col(date) <= at) & (F.col("_year") <= year))
+    return df.drop("_year")

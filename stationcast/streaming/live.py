@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import levels
 from ..functions.calendar import with_serving_calendar
-from ..sources.feed import stream_live
+from ..sources.feed import stream_live, stream_rejects
 
 
 def start(df: DataFrame, target: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
@@ -25,6 +25,13 @@ def start(df: DataFrame, target: str, checkpoint: str, available_now: bool = Tru
     return writer.start()
 
 
+def ingest_rejects(
+    spark: SparkSession, landing: str, target: str, checkpoint: str, available_now: bool = True
+) -> StreamingQuery:
+    """Lines in ``landing`` that are no messages to ``target``; the other jobs leave them out."""
+    return start(stream_rejects(spark, landing), target, checkpoint, available_now)
+
+
 def ingest_live(
     spark: SparkSession,
     landing: str,

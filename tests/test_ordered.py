@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stationcast.operators import features, fill, quantiles, split
-from stationcast.operators.ordered import SEGMENT, arrange, measure
+from stationcast.operators.ordered import SEGMENT, arrange, measure, with_tie
 
 KEYS = ["station", "obs_date"]
 
@@ -85,8 +85,8 @@ def test_global_series(panel):
 
 def test_measure_bounds_the_big_keys(skewed):
     sizes = measure(skewed, max_rows=900)
-    assert sizes.total == 3000 and [k for k, _ in sizes.big] == [("hot",)]
-    assert measure(skewed).big == ()
+    assert sizes.total == 3000 and [tuple(r) for r in sizes.big.collect()] == [("hot",)]
+    assert measure(skewed).big is None
 
 
 def test_one_measurement_serves_a_chain(skewed):
@@ -117,3 +117,68 @@ def test_interpolation_with_bulk_rows_without_key(days):
     rows = [(None, i, None if i % 2 else 1.0) for i in range(30)]
     rows += [("a", i, None if i % 3 else float(i)) for i in range(30)]
     same(fill.interpolate_target(days(rows)), fill.interpolate_target(days(rows), max_rows=12))
+
+
+@pytest.fixture
+def keyless(days):
+    """Forty rows without a station, more than fit a window, beside a series."""
+    return days([(None, i, float(i)) for i in range(40)] + [("a", i, float(i % 7)) for i in range(30)])
+
+
+@pytest.mark.parametrize("limit", [1000, 35, 12])
+def test_rows_without_key_have_no_position_at_any_size(keyless, limit):
+    same(split.add_folds(keyless), split.add_folds(keyless, max_rows=limit))
+    out = split.add_split(keyless, max_rows=limit)
+    same(split.add_split(keyless), out)
+    row = out.groupBy().agg(
+        F.count_if(F.col("station").isNull() & F.col("position").isNull() & F.col("is_train").isNull()),
+        F.count_if(F.col("is_train")), F.count_if(~F.col("is_train")),
+    ).first()
+    assert tuple(row) == (40, 24, 6)
+
+
+@pytest.mark.parametrize("limit", [1000, 12])
+def test_running_sum_and_quantiles_without_key(keyless, limit):
+    series = arrange(keyless.withColumn("one", F.lit(1).cast("long")), max_rows=limit)
+    out = series.running_sum("one", "upto", "all").result()
+    assert out.filter("station IS NULL AND (upto IS NOT NULL OR `all` IS NOT NULL)").count() == 0
+    assert out.filter("station = 'a' AND `all` = 30").count() == 30
+    got = quantiles.exact_quantiles(keyless, ["pm25"], [0.5], by=["station"], max_rows=limit)
+    assert {r.station: r.value for r in got.collect()} == {"a": 3.0, None: 19.5}
+
+
+@pytest.mark.parametrize("limit", [1000, 5])
+def test_tied_rows_keep_their_order_through_a_chain(days, limit):
+    """Twelve readings of one day: a later operator sees the order that an earlier one used."""
+    df = days([("a", 0, float(i)) for i in range(12)])
+    lagged = features.add_lags(df, lags=[1], max_rows=limit)
+    placed = split.add_split(features.with_calendar(lagged), max_rows=limit).orderBy("position").collect()
+    assert [r.pm25_lag_1 for r in placed[1:]] == [r.pm25 for r in placed[:-1]]
+    shared = with_tie(df)
+    by_tie = split.add_split(features.add_lags(shared, lags=[1], max_rows=limit), max_rows=limit).orderBy("position").collect()
+    assert [r.pm25_lag_1 for r in by_tie[1:]] == [r.pm25 for r in by_tie[:-1]]
+
+
+def test_many_segments_are_joined_not_broadcast(skewed, monkeypatch):
+    from stationcast.operators import ordered
+
+    monkeypatch.setattr(ordered, "MAX_PIECES", 3)
+    same(fill.forward_fill(skewed, ["pm25"]), fill.forward_fill(skewed, ["pm25"], max_rows=60))
+    same(split.add_split(skewed), split.add_split(skewed, max_rows=60))
+
+
+def test_quantiles_between_approximate_ones(spark):
+    """Only a small part of the values is sorted, with the same result."""
+    df = spark.range(40_000).select(
+        F.when(F.col("id") % 3 == 0, None).otherwise(F.concat(F.lit("g"), F.col("id") % 2)).alias("g"),
+        F.when(F.col("id") % 11 > 0, (F.hash("id") % 5000) / 7.0).alias("x"),
+        F.when(F.col("id") < 30, F.col("id").cast("double")).alias("y"),
+    )
+    ps = [0.0, 0.25, 0.5, 0.9, 1.0]
+    for by in ((), ("g",)):
+        plain = quantiles.exact_quantiles(df, ["x", "y"], ps, by)
+        same(plain, quantiles.exact_quantiles(df, ["x", "y"], ps, by, bracket_rows=8_000))
+        same(plain, quantiles.exact_quantiles(df, ["x", "y"], ps, by, bracket_rows=8_000, max_rows=50))
+    want = df.toPandas()[["x", "y"]].quantile(0.25)
+    got = quantiles.exact_quantiles(df, ["x", "y"], [0.25], bracket_rows=8_000).toPandas().set_index("column").value
+    assert got.round(9).to_dict() == want.round(9).to_dict()
