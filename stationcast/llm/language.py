@@ -240,10 +240,13 @@ def training_rows(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col
     """The bounded sample of (text, lang) that a model is fitted on."""
     named = docs.filter(use & F.col(lang_col).isNotNull() & (F.length(text_col) <= MOST_CHARS))
     common = named.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).select(F.col(lang_col).alias("l"))
-    hashed = named.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("h"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    chosen = hashed.join(F.broadcast(common), F.col("lang") == F.col("l"), "left_semi").withColumn("place", place)
-    return chosen.filter(F.col("place") <= PER_LANGUAGE).select("text", "lang")
+    known = named.join(F.broadcast(common), F.col(lang_col) == F.col("l"), "left_semi")
+    hashed = known.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("h"))
+    # ranked without their texts; then at most LANGUAGES * PER_LANGUAGE hashes find them
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = hashed.select("lang", "h").withColumn("place", place).filter(F.col("place") <= PER_LANGUAGE)
+    chosen = F.broadcast(chosen.select("lang", "h").distinct())
+    return hashed.join(chosen, ["lang", "h"]).dropDuplicates(["lang", "h"]).select("text", "lang")
 
 
 def fit(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
