@@ -16,7 +16,7 @@ from stationcast.schema import (
 )
 from stationcast.functions.calendar import with_serving_calendar
 from stationcast.session import scratch_path
-from stationcast.sources import readings
+from stationcast.sources import derived, feed, readings
 
 from . import base, ctes
 from .ctes import CALENDAR, GLOBAL_FILLS, sql
@@ -90,6 +90,38 @@ def s4(spark, sf):
     return base.live(spark, sf)
 
 
+# a third of the messages is spoilt: cut off, cut off and closed, without an id
+SPOILT = ("substr(value, 1, 40)", "replace(value, 'reading_id', 'reading')")
+
+
+def _spoilt(spark, sf):
+    path = scratch_path(spark, "landing")
+    messages = derived.live_messages(spark, sf)
+    kind = F.pmod(F.get_json_object("value", "$.reading_id").cast("long"), F.lit(9))
+    value = F.when(kind == 0, F.expr(SPOILT[0])).when(kind == 1, F.concat(F.expr(SPOILT[0]), F.lit("}")))
+    value = value.when(kind == 2, F.expr(SPOILT[1])).otherwise(F.col("value"))
+    messages.select(value.alias("value")).write.text(path)
+    return path
+
+
+@query("s4_spoilt_feed", sql("select * from live where reading_id % 9 not in (0, 1, 2)", "live"))
+def s4_spoilt(spark, sf):
+    return feed.read_live(spark, _spoilt(spark, sf))
+
+
+@query("s4_rejects", sql("select reading_id % 9 as kind, count(*) as n from live where reading_id % 9 in (0, 1, 2) group by 1", "live"))
+def s4_rejects(spark, sf):
+    """The lines kept apart, by how they were spoilt."""
+    line = F.col("line")
+    kind = F.when(line.contains('"reading"'), 2).when(line.endswith("}"), 1).otherwise(0).cast("long")
+    return feed.read_rejects(spark, _spoilt(spark, sf)).groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s4_explicit_nulls", sql("select * replace (case when reading_id % 5 = 1 then null else pm10 end as pm10) from live", "live"))
+def s4_nulls(spark, sf):
+    return feed.read_live(spark, base.landed_messages(spark, sf), null_as_zero=False)
+
+
 @query("c1_column_names", sql(f"select {RAW_LIST} from raw", "raw"))
 def c1(spark, sf):
     messy = base.raw(spark, sf)

@@ -101,7 +101,10 @@ def a7(spark, sf):
     return reports.missing_counts(base.panel(spark, sf))
 
 
-RAW_CELLS = ["pm_duakomalima", "pm_sepuluh", "sulfur_dioksida", "karbon_monoksida", "ozon", "nitrogen_dioksida", "max", "stasiun"]
+RAW_CELLS = [
+    "pm_duakomalima", "pm_sepuluh", "sulfur_dioksida", "karbon_monoksida", "ozon", "nitrogen_dioksida", "max", "stasiun",
+    "periode_data", "tanggal", "cast(bulan as varchar)",
+]
 CLEAN_CELLS = ["pm25", "pm10", "so2", "co", "o3", "no2", "max_idx", "station"]
 _before = " + ".join(f"count(*) filter ({c} not in ('N/A', 'null', 'TIDAK ADA DATA'))" for c in RAW_CELLS)
 _after = " + ".join(f"count({c})" for c in CLEAN_CELLS)
@@ -613,7 +616,7 @@ def r10_histogram(spark, sf):
     return rounded(charts.target_chart(base.feature_rows(spark, sf))["histogram"], *BIN)
 
 
-COMPARED = ["train_mae", "test_mae", "test_rmse", "test_mape"]
+COMPARED = ["train_mae", "test_mae", "train_rmse", "test_rmse", "train_r2", "test_r2", "train_mape", "test_mape", "cv_mae", "cv_std"]
 
 
 @query("r11_metric_correlation", sql(" union all ".join(

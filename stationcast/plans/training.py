@@ -34,7 +34,7 @@ log = logging.getLogger(__name__)
 
 
 def random_forest(**changes) -> RandomForestRegressor:
-    settings = dict(numTrees=100, maxDepth=10, featureSubsetStrategy="sqrt", seed=SEED)
+    settings = dict(numTrees=100, maxDepth=10, featureSubsetStrategy="sqrt", maxMemoryInMB=1024, seed=SEED)
     return RandomForestRegressor(labelCol="label", **{**settings, **changes})
 
 
@@ -45,6 +45,7 @@ def boosted_trees(**changes) -> GBTRegressor:
         stepSize=0.1,
         subsamplingRate=0.8,
         featureSubsetStrategy="0.8",
+        maxMemoryInMB=1024,
         seed=SEED,
     )
     return GBTRegressor(labelCol="label", **{**settings, **changes})
@@ -198,8 +199,10 @@ def _scored(rows: DataFrame, fitted, name: str) -> DataFrame:
 def station_index(df: DataFrame, name: str = "station_index") -> DataFrame:
     """``df`` with the place of its station among all station names, as a model feature.
 
-    The index is a table joined to the rows; only its size reaches the driver.
+    The index is a table joined to the rows; only its size reaches the driver. The rows
+    are read twice, so they are written first.
     """
+    df = durable(df, "indexed")
     names = df.select(STATION).filter(F.col(STATION).isNotNull()).distinct()
     index = arrange(names, (), (STATION,), ()).number(name).result()
     return attach(df, index.withColumn(name, F.col(name).cast("int")), [STATION])
