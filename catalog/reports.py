@@ -103,18 +103,18 @@ def a7(spark, sf):
 
 RAW_CELLS = [
     "pm_duakomalima", "pm_sepuluh", "sulfur_dioksida", "karbon_monoksida", "ozon", "nitrogen_dioksida", "max", "stasiun",
-    "periode_data", "tanggal", "cast(bulan as varchar)",
+    "periode_data", "tanggal", "bulan",
 ]
 CLEAN_CELLS = ["pm25", "pm10", "so2", "co", "o3", "no2", "max_idx", "station"]
-_before = " + ".join(f"count(*) filter ({c} not in ('N/A', 'null', 'TIDAK ADA DATA'))" for c in RAW_CELLS)
+_before = " + ".join(f"count(*) filter (cast({c} as varchar) not in ('N/A', 'null', 'TIDAK ADA DATA'))" for c in RAW_CELLS)
 _after = " + ".join(f"count({c})" for c in CLEAN_CELLS)
 
 
 @query("a8_quality_report", sql(f"""
-select b.rows as rows_before, cast(8 as int) as columns_before, a.rows as rows_after, cast(8 as int) as columns_after, b.rows - a.rows as rows_dropped,
+select b.rows as rows_before, cast(11 as int) as columns_before, a.rows as rows_after, cast(8 as int) as columns_after, b.rows - a.rows as rows_dropped,
   round((b.rows - a.rows) * 100.0::double / b.rows, 6) as dropped_pct, first_date, last_date, stations,
-  round(b.filled * 100.0::double / (b.rows * 8), 6) as quality_before, round(a.filled * 100.0::double / (a.rows * 8), 6) as quality_after,
-  round(round(a.filled * 100.0::double / (a.rows * 8), 6) - round(b.filled * 100.0::double / (b.rows * 8), 6), 6) as quality_change
+  round(b.filled * 100.0::double / (b.rows * 11), 6) as quality_before, round(a.filled * 100.0::double / (a.rows * 8), 6) as quality_after,
+  round(round(a.filled * 100.0::double / (a.rows * 8), 6) - round(b.filled * 100.0::double / (b.rows * 11), 6), 6) as quality_change
 from (select count(*) as rows, {_before} as filled from raw) b,
   (select count(*) as rows, {_after} as filled, min(obs_date) as first_date, max(obs_date) as last_date, count(distinct station) as stations from clean) a""", "raw", "clean"))
 def a8(spark, sf):
