@@ -66,6 +66,7 @@ def slices(batch: pa.RecordBatch, text_col: str = "text", max_bytes: int = SLICE
     while start < batch.num_rows:
         stop = max(start + 1, int(np.searchsorted(total, before + max_bytes, "right")))
         yield batch.slice(start, stop - start)
+        pa.default_memory_pool().release_unused()
         start, before = stop, int(total[stop - 1])
 
 

@@ -13,10 +13,10 @@ import numpy as np
 GROUPS, GROUP = 24, 24
 SYMBOLS = GROUPS * GROUP
 HIDDEN = 24
-STREAMS, WINDOW = 128, 16
+STREAMS, WINDOW = 128, 32
 RATE, CLIP = 0.01, 1.0
 #: Symbols scored in one go.
-SCORED = 1 << 16
+SCORED = 1 << 15
 SHAPES = {
     "input": (SYMBOLS, 3 * HIDDEN), "state": (HIDDEN, 3 * HIDDEN),
     "group": (HIDDEN, GROUPS), "group_bias": (GROUPS,),
@@ -40,11 +40,12 @@ def flat(p: Parameters) -> np.ndarray:
     return np.concatenate([p[name].ravel() for name in SHAPES])
 
 
-def shaped(vector: np.ndarray) -> Parameters:
+def views(vector: np.ndarray) -> Parameters:
+    """The parameters that lie one after the other in ``vector``."""
     out, at = {}, 0
     for name, shape in SHAPES.items():
         n = int(np.prod(shape))
-        out[name] = vector[at : at + n].reshape(shape).astype(np.float32)
+        out[name] = vector[at : at + n].reshape(shape)
         at += n
     return out
 
@@ -116,13 +117,13 @@ def score(p: Parameters, documents: list[np.ndarray], first: int) -> np.ndarray:
 
 
 class Trainer:
-    """Adam over truncated backpropagation; ``feed`` takes documents, ``parameters`` hold the result."""
+    """Adam over truncated backpropagation; ``feed`` takes documents, ``vector`` holds the result."""
 
     def __init__(self, parameters: Parameters, first: int):
-        self.parameters = {k: v.copy() for k, v in parameters.items()}
+        self.vector = flat(parameters)
+        self.parameters = views(self.vector)
         self.first = first
-        self.mean = {k: np.zeros_like(v) for k, v in parameters.items()}
-        self.square = {k: np.zeros_like(v) for k, v in parameters.items()}
+        self.mean, self.square, self.grad = (np.zeros_like(self.vector) for _ in range(3))
         self.updates = self.symbols = 0
 
     def feed(self, documents: list[np.ndarray]) -> None:
@@ -152,63 +153,58 @@ class Trainer:
 
     def window(self, before: np.ndarray, target: np.ndarray, new: np.ndarray, real: np.ndarray, h: np.ndarray) -> np.ndarray:
         p, (steps, width) = self.parameters, before.shape
-        x = p["input"][before]
         kept = (~new).astype(np.float32)[:, :, None]
-        saved, states = [], np.empty((steps, width, HIDDEN), np.float32)
+        x = p["input"][before]
+        old, z, r, n, gn, states = (np.empty((steps, width, HIDDEN), np.float32) for _ in range(6))
         for t in range(steps):
-            h, own = step(p, x[t], h * kept[t])
-            saved.append(own)
+            h, (old[t], z[t], r[t], n[t], gn[t]) = step(p, x[t], h * kept[t])
             states[t] = h
-        flat_state, flat_target = states.reshape(-1, HIDDEN), target.ravel()
-        weight = (real.ravel() / max(int(real.sum()), 1)).astype(np.float32)[:, None]
-        grad = {}
-        rows = np.arange(len(flat_target))
-        d = np.exp(log_softmax(flat_state @ p["group"] + p["group_bias"]))
-        d[rows, flat_target // GROUP] -= 1
+        grad = views(self.grad)
+        back = self.output(states.reshape(-1, HIDDEN), target.ravel(), real.ravel(), grad).reshape(states.shape)
+        # what a step passes on is its own gradient times these factors
+        by_n = (1 - z) * (1 - n * n)
+        gates = np.stack([(old - n) * z * (1 - z), by_n * gn * r * (1 - r), by_n * r], axis=2)
+        carried = np.zeros((width, HIDDEN), np.float32)
+        deltas = np.empty((steps, width, 3, HIDDEN), np.float32)
+        to_state = np.ascontiguousarray(p["state"].T)
+        for t in range(steps - 1, -1, -1):
+            back[t] += carried
+            np.multiply(back[t][:, None, :], gates[t], out=deltas[t])
+            carried = (back[t] * z[t] + deltas[t].reshape(width, -1) @ to_state) * kept[t]
+        grad["state"][...] = old.reshape(-1, HIDDEN).T @ deltas.reshape(-1, 3 * HIDDEN)
+        deltas[:, :, 2] = back * by_n  # the candidate's input isn't gated
+        rows, places = deltas.reshape(-1, 3 * HIDDEN), before.ravel()
+        order = np.argsort(places, kind="stable")
+        ranked = places[order]
+        edge = np.flatnonzero(np.append([True], ranked[1:] != ranked[:-1]))
+        grad["input"][...] = 0
+        grad["input"][ranked[edge]] = np.add.reduceat(rows[order], edge, axis=0)
+        self.update()
+        return h
+
+    def output(self, state: np.ndarray, target: np.ndarray, real: np.ndarray, grad: Parameters) -> np.ndarray:
+        """The gradients of both softmaxes into ``grad``; returns that of the states."""
+        p = self.parameters
+        weight = (real / max(int(real.sum()), 1)).astype(np.float32)[:, None]
+        d = np.exp(log_softmax(state @ p["group"] + p["group_bias"]))
+        d[np.arange(len(target)), target // GROUP] -= 1
         d *= weight
-        grad["group"], grad["group_bias"] = flat_state.T @ d, d.sum(axis=0)
+        grad["group"][...], grad["group_bias"][...] = state.T @ d, d.sum(axis=0)
         back = d @ p["group"].T
-        grad["inside"], grad["inside_bias"] = np.zeros_like(p["inside"]), np.zeros_like(p["inside_bias"])
-        for g, at in by_group(flat_target):
-            own = flat_state[at]
+        grad["inside"][...], grad["inside_bias"][...] = 0, 0
+        for g, at in by_group(target):
+            own = state[at]
             d = np.exp(log_softmax(own @ p["inside"][g] + p["inside_bias"][g]))
-            d[np.arange(len(at)), flat_target[at] % GROUP] -= 1
+            d[np.arange(len(at)), target[at] % GROUP] -= 1
             d *= weight[at]
             grad["inside"][g], grad["inside_bias"][g] = own.T @ d, d.sum(axis=0)
             back[at] += d @ p["inside"][g].T
-        back = back.reshape(steps, width, HIDDEN)
-        dg = np.empty((steps, width, 3 * HIDDEN), np.float32)
-        dn_all = np.empty((steps, width, HIDDEN), np.float32)
-        carried = np.zeros((width, HIDDEN), np.float32)
-        for t in range(steps - 1, -1, -1):
-            own_h, z, r, n, gn = saved[t]
-            dh = back[t] + carried
-            dn = dh * (1 - z) * (1 - n * n)
-            dn_all[t] = dn
-            dg[t, :, :HIDDEN] = dh * (own_h - n) * z * (1 - z)
-            dg[t, :, HIDDEN : 2 * HIDDEN] = dn * gn * r * (1 - r)
-            dg[t, :, 2 * HIDDEN :] = dn * r
-            carried = (dh * z + dg[t] @ p["state"].T) * kept[t]
-        before_state = np.stack([s[0] for s in saved]).reshape(-1, HIDDEN)
-        flat_dg = dg.reshape(-1, 3 * HIDDEN)
-        grad["state"] = before_state.T @ flat_dg
-        flat_dg[:, 2 * HIDDEN :] = dn_all.reshape(-1, HIDDEN)  # the candidate's input isn't gated
-        order = np.argsort(before.ravel(), kind="stable")
-        ranked = before.ravel()[order]
-        edge = np.flatnonzero(np.append([True], ranked[1:] != ranked[:-1]))
-        grad["input"] = np.zeros_like(p["input"])
-        grad["input"][ranked[edge]] = np.add.reduceat(flat_dg[order], edge, axis=0)
-        self.update(grad)
-        return h
+        return back
 
-    def update(self, grad: Parameters) -> None:
-        size = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-        scale = min(1.0, CLIP / (size + 1e-9))
+    def update(self) -> None:
+        g = self.grad * min(1.0, CLIP / (float(np.sqrt(self.grad @ self.grad)) + 1e-9))
         self.updates += 1
         rate = RATE * np.sqrt(1 - 0.99**self.updates) / (1 - 0.9**self.updates)
-        for name, g in grad.items():
-            g = g * scale
-            mean, square = self.mean[name], self.square[name]
-            mean += 0.1 * (g - mean)
-            square += 0.01 * (g * g - square)
-            self.parameters[name] -= rate * mean / (np.sqrt(square) + 1e-6)
+        self.mean += 0.1 * (g - self.mean)
+        self.square += 0.01 * (g * g - self.square)
+        self.vector -= np.float32(rate) * self.mean / (np.sqrt(self.square) + 1e-6)

@@ -46,6 +46,10 @@ SLOTS = 32
 #: The symbol of the end of a document, and that of words with a rare ending.
 END, OTHER = 0, 1
 HEAD = gru.SYMBOLS - ENDINGS - 2
+#: Text bytes worked on at once; the arrays around them are many times larger.
+RUN_BYTES = 2 << 20
+#: Symbols that wait for each other: documents of any length step through the network side by side.
+SCORED_TOGETHER = 4 << 20
 LN10 = float(np.log(10))
 
 
@@ -61,7 +65,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, max_bytes=RUN_BYTES):
                 distinct, code, _ = words_of(texts_of(part))
                 n = np.bincount(code, minlength=len(distinct))
                 yield pa.RecordBatch.from_arrays([distinct, pa.array(n, pa.int64())], ["word", "n"])
@@ -74,9 +78,9 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 class Vocabulary:
     """What tasks need to know of the counts; all of bounded size."""
 
-    head: list[str]
-    endings: list[str]
-    common: list[str]
+    head: pa.Array
+    endings: pa.Array
+    common: pa.Array
     common_counts: np.ndarray
     symbol_counts: np.ndarray  # N of each symbol
     symbol_words: np.ndarray  # distinct words of each symbol
@@ -95,15 +99,15 @@ class Vocabulary:
 
     def symbols(self, distinct: pa.Array) -> np.ndarray:
         """The symbol of each distinct word."""
-        head = pc.index_in(distinct, pa.array(self.head, pa.string()))
-        ending = pc.index_in(pc.utf8_slice_codeunits(distinct, -2), pa.array(self.endings, pa.string()))
+        head = pc.index_in(distinct, self.head)
+        ending = pc.index_in(pc.utf8_slice_codeunits(distinct, -2), self.endings)
         own = pc.fill_null(pc.add(head, 2), -1).to_numpy(zero_copy_only=False)
         shared = pc.fill_null(pc.add(ending, 2 + len(self.head)), OTHER).to_numpy(zero_copy_only=False)
         return np.where(own >= 0, own, shared).astype(np.int64)
 
     def counts(self, distinct: pa.Array) -> np.ndarray:
         """The count of each distinct common word, 0 for others."""
-        at = pc.index_in(distinct, pa.array(self.common, pa.string())).to_numpy(zero_copy_only=False)
+        at = pc.index_in(distinct, self.common).to_numpy(zero_copy_only=False)
         found = np.zeros(len(distinct), np.int64)
         known = ~np.isnan(at) if at.dtype.kind == "f" else np.ones(len(at), bool)
         found[known] = self.common_counts[at[known].astype(np.int64)]
@@ -127,7 +131,7 @@ def vocabulary(totals: DataFrame, n_documents: int) -> Vocabulary:
     n[OTHER] = whole[0] - n[2:].sum()
     v[OTHER] = whole[1] - len(head) - v.sum()
     return Vocabulary(
-        head, [r.e for r in most], common["word"].tolist(), common["c"].to_numpy(np.int64), n, v,
+        *(pa.array(x, pa.string()) for x in (head, [r.e for r in most], common["word"].tolist())), common["c"].to_numpy(np.int64), n, v,
         int(whole[0]) + n_documents, int(whole[1]) + (n_documents > 0), n_documents,
     )
 
@@ -136,7 +140,7 @@ def documents_of(code: np.ndarray, rows: np.ndarray, symbol: np.ndarray, n: int)
     """The symbols of each text, the end last."""
     count = np.bincount(rows, minlength=n)
     ends = np.cumsum(count + 1) - 1
-    flat = np.full(len(code) + n, END, np.int64)
+    flat = np.full(len(code) + n, END, symbol.dtype)
     keep = np.ones(len(flat), bool)
     keep[ends] = False
     flat[keep] = symbol[code]
@@ -150,13 +154,13 @@ def train(docs: DataFrame, words: Vocabulary, text_col: str = "text", id_col: st
 
     def one_round(now: DataFrame, start: np.ndarray) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = gru.Trainer(gru.shaped(start), END)
+            own = gru.Trainer(gru.views(start), END)
             for batch in batches:
-                for part in slices(batch):
+                for part in slices(batch, max_bytes=RUN_BYTES):
                     distinct, code, rows = words_of(texts_of(part))
                     own.feed(documents_of(code, rows, words.symbols(distinct), part.num_rows))
             if own.symbols:
-                total = gru.flat(own.parameters).astype(np.float64) * own.symbols
+                total = own.vector.astype(np.float64) * own.symbols
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()]), pa.array([float(own.symbols)])], ["v", "n"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,33 +192,45 @@ def score(docs: DataFrame, totals: DataFrame, words: Vocabulary, vector: np.ndar
         schema.add(name, t)
     end_log, share = float(np.log10(words.end_count + 0.1)), words.share_totals()
 
+    def rows_of(key: pa.Array, h: pa.Array, word: pa.Array, n: np.ndarray, numbers: list[np.ndarray | None]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        columns = [pa.nulls(len(n), t) if x is None else pa.array(x).cast(t) for x, t in zip(numbers, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([key, h, word, pa.array(n, pa.int64()), *columns], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = gru.shaped(vector)
+        p = gru.views(vector)
+
+        def scored(held: list[tuple]) -> pa.RecordBatch:
+            """The rows of documents whose symbols wait to be scored together."""
+            key, h = (pa.concat_arrays([x[i] for x in held]) for i in (0, 1))
+            tokens, known, base, model = (np.concatenate([x[i] for x in held]) for i in (2, 3, 4, 5))
+            if words.train_tokens:
+                model = model + gru.score(p, [d for x in held for d in x[6]], END) / LN10
+            return rows_of(key, h, pa.nulls(len(key), pa.string()), np.ones(len(key)), [tokens, known, base, model])
+
         for batch in batches:
-            for part in slices(batch):
+            held: list[tuple] = []
+            for part in slices(batch, max_bytes=RUN_BYTES):
                 n = part.num_rows
                 distinct, code, rows = words_of(texts_of(part))
                 symbol, count = words.symbols(distinct), words.counts(distinct)
                 tokens = np.bincount(rows, minlength=n) + 1
-                model = gru.score(p, documents_of(code, rows, symbol, n), END) / LN10 if words.train_tokens else np.zeros(n)
                 logs = np.where(count > 0, np.log10(count + 0.1), 0.0)  # the others' follow from the join
                 tail = (symbol == OTHER) | (symbol >= 2 + len(words.head))
                 known = np.bincount(rows, weights=(count > 0)[code], minlength=n) + (words.end_count > 0)
                 base = np.bincount(rows, weights=logs[code], minlength=n) + end_log - tokens * words.base_total
-                model += np.bincount(rows, weights=np.where(tail, logs - share[symbol], 0.0)[code], minlength=n)
-                none = pa.nulls(n, pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), none, *(pa.array(x, pa.int64()) for x in (np.ones(n), tokens, known)), pa.array(base), pa.array(model)],
-                    names,
-                )
+                shared = np.bincount(rows, weights=np.where(tail, logs - share[symbol], 0.0)[code], minlength=n)
+                documents = documents_of(code, rows, symbol.astype(np.int16), n)
+                held.append((part.column(0), part.column(2), tokens, known.astype(np.int64), base, shared, documents))
                 rare = (count == 0)[code]
-                key, times = np.unique(rows[rare] * max(len(distinct), 1) + code[rare], return_counts=True)
-                row, word = pa.array(key // max(len(distinct), 1)), pa.array(key % max(len(distinct), 1))
-                m = len(key)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(row), part.column(2).take(row), distinct.take(word), pa.array(times, pa.int64()),
-                     *[pa.nulls(m, pa.int64())] * 2, *[pa.nulls(m, pa.float64())] * 2], names,
-                )
+                place, times = np.unique(rows[rare] * max(len(distinct), 1) + code[rare], return_counts=True)
+                row, word = pa.array(place // max(len(distinct), 1)), pa.array(place % max(len(distinct), 1))
+                yield rows_of(part.column(0).take(row), part.column(2).take(row), distinct.take(word), times, [None] * 4)
+                if sum(int(x[2].sum()) for x in held) > SCORED_TOGETHER:
+                    yield scored(held)
+                    held = []
+            if held:
+                yield scored(held)
 
     found = durable(narrow.mapInArrow(run, schema), "scores")
     own = found.filter("word IS NULL")
