@@ -3,7 +3,7 @@
 Raw readings and a clean panel are derived and landed as Parquet first (not
 timed); each query then starts from a Parquet scan, like a user's job would.
 Supplier grain, so that the data grows with the scale factor. Each figure is the
-median of three runs after a discarded one.
+median of three runs after a discarded one, of one run for training.
 
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
 """
@@ -22,10 +22,10 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from catalog import base  # noqa: E402
-from stationcast.operators import bias, cleaning, features, fill, metrics, split  # noqa: E402
+from stationcast.operators import bias, cleaning, features, fill, metrics, quantiles, reports, split  # noqa: E402
 from stationcast.plans import scoring, training  # noqa: E402
 from stationcast.schema import DATE, FILLED_POLLUTANTS, SERVING_FEATURES, STATION, TARGET  # noqa: E402
-from stationcast.session import local_session, scratch_path  # noqa: E402
+from stationcast.session import local_session, release, scratch_path  # noqa: E402
 from stationcast.sources.readings import read_landed  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -39,13 +39,14 @@ def run(df) -> None:
 
 def main() -> None:
     spark = local_session(CPUS, "bench", **{"spark.sql.shuffle.partitions": CPUS})
-    raw_path, clean_path, feature_path, predicted_path = (
-        scratch_path(spark, n) for n in ("raw", "clean", "features", "predicted")
+    raw_path, clean_path, feature_path, predicted_path, split_path = (
+        scratch_path(spark, n) for n in ("raw", "clean", "features", "predicted", "split")
     )
     base.raw(spark, SF_DIR, "supplier").write.parquet(raw_path)
     cleaning.clean_readings(read_landed(spark, raw_path)).write.parquet(clean_path)
     features.build_features(read_landed(spark, clean_path)).write.parquet(feature_path)
     base.predictions(spark, SF_DIR, "supplier").write.parquet(predicted_path)
+    split.add_split(read_landed(spark, clean_path).select(STATION, DATE, TARGET)).write.parquet(split_path)
 
     def clean():
         return read_landed(spark, clean_path)
@@ -63,7 +64,20 @@ def main() -> None:
         run(features.features_from_raw(read_landed(spark, raw_path)))
 
     def split_and_folds():
-        run(split.add_folds(split.add_split(clean().select(STATION, DATE, TARGET)).drop("position", "series_size")))
+        run(split.add_split_and_folds(clean().select(STATION, DATE, TARGET)))
+
+    def fill_global():
+        run(fill.forward_fill_global(clean().select(STATION, DATE, *FILLED_POLLUTANTS), FILLED_POLLUTANTS))
+
+    def fill_segments():
+        # every series is above this limit, as series of a large panel are above the real one
+        run(fill.forward_fill(clean().select(STATION, DATE, *FILLED_POLLUTANTS), FILLED_POLLUTANTS, max_rows=500))
+
+    def median_per_column():
+        run(quantiles.medians(clean(), FILLED_POLLUTANTS))
+
+    def boxes():
+        run(reports.box_summary(read_landed(spark, split_path)))
 
     def metrics_and_bias():
         rows = read_landed(spark, predicted_path)
@@ -82,6 +96,12 @@ def main() -> None:
         run(trained.comparison)
         trained.prepared.release()
 
+    def train_forest():
+        rows = read_landed(spark, feature_path)
+        trained = training.train_all(rows, {"RandomForest": training.random_forest}, folds=False, columns=SERVING_FEATURES)
+        run(trained.comparison)
+        trained.prepared.release()
+
     queries = {
         "clean_chain": clean_chain,
         "fill_station": fill_station,
@@ -91,16 +111,22 @@ def main() -> None:
         "metrics_and_bias": metrics_and_bias,
         "forecast_all": forecast_all,
         "train_linear_with_folds": train_linear,
+        "fill_global": fill_global,
+        "fill_segments": fill_segments,
+        "medians": median_per_column,
+        "box_summary": boxes,
+        "train_forest": train_forest,
     }
     took = {}
     for name, query in queries.items():
         times = []
-        for i in range(RUNS + 1):
+        for i in range(2 if name.startswith("train_") else RUNS + 1):
             start = time.perf_counter()
             query()
             if i:
                 times.append(time.perf_counter() - start)
         took[name] = round(statistics.median(times), 3)
+        release(spark)
         print(f"{name} {took[name]}", file=sys.stderr, flush=True)
     found = re.search(r"sf([\d.]+)$", SF_DIR.rstrip("/"))
     print(

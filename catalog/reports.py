@@ -626,7 +626,20 @@ def r11(spark, sf):
     return rounded(reports.correlation(base.comparison(spark, sf), COMPARED), "correlation")
 
 
-@query("r12_model_figure")
+PANEL_ROWS = {
+    "train_lines": "select count(*) from pred where side = 'train'",
+    "test_lines": "select count(*) from pred where side = 'test'",
+    "actual_predicted": "select count(*) from pred",
+    "predicted_residual": "select count(*) from pred",
+    "error_density": "select 30 * count(distinct model) from pred",
+    "month_bias": "select 12 * count(distinct model) from pred",
+    "level_mae": f"select count(*) from ({LEVELS.replace('from test', 'from pred')})",
+    "metric_bars": "select 6 * count(distinct model) from pred",
+    "sorted_band": "select count(*) from test",
+}
+
+
+@query("r12_model_figure", sql(" union all ".join(f"select '{name}' as panel, cast(({rows}) as bigint) as rows" for name, rows in PANEL_ROWS.items()), "pred", "test"))
 def r12(spark, sf):
     rows = base.predictions(spark, sf)
     panels = charts.model_figure(rows, selection.metric_bars(base.comparison(spark, sf)))

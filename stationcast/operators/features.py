@@ -64,13 +64,23 @@ def add_lags(
 
 
 def add_calendar_lags(
-    df: DataFrame, column: str = TARGET, lags: Sequence[int] = LAGS
+    df: DataFrame, column: str = TARGET, lags: Sequence[int] = LAGS, pick: str = "max"
 ) -> DataFrame:
-    """The value exactly n days earlier, for a panel unique per station and date."""
-    earlier = df.filter(F.col(column).isNotNull()).select(
+    """The value exactly n days earlier.
+
+    With several values for a station and date, ``pick`` names the aggregate to take
+    (``max``, ``min`` or ``avg``); with ``error`` they are an error.
+    """
+    choose = F.max if pick == "error" else {"max": F.max, "min": F.min, "avg": F.avg}[pick]
+    known = df.filter(F.col(column).isNotNull())
+    days = known.groupBy(STATION, DATE).agg(choose(column).alias("_value"), F.count(F.lit(1)).alias("_n"))
+    if pick == "error":
+        one = F.when(F.col("_n") == 1, F.col("_value"))
+        days = days.withColumn("_value", F.coalesce(one, F.raise_error(F.lit("several values for a station and date")).cast("double")))
+    earlier = days.select(
         STATION,
         F.explode(F.array(*[F.struct(F.date_add(DATE, n).alias(DATE), F.lit(n).alias("n")) for n in lags])).alias("at"),
-        F.col(column).alias("_value"),
+        "_value",
     )
     wide = earlier.groupBy(STATION, F.col("at")[DATE].alias(DATE)).agg(
         *[F.max(F.when(F.col("at")["n"] == n, F.col("_value"))).alias(f"pm25_lag_{n}") for n in lags]
@@ -204,6 +214,10 @@ def align_features(df: DataFrame, columns: Sequence[str], keep: Sequence[str] =
     return df.select(*[c for c in keep if c in df.columns and c not in columns], *columns)
 
 
+#: Up to so many rows the rank filter itself limits each input partition (Spark's default).
+RANK_LIMIT = 1000
+
+
 def latest_rows(
     df: DataFrame,
     n: int,
@@ -213,12 +227,19 @@ def latest_rows(
 ) -> DataFrame:
     """The last n rows of each station.
 
-    The rank filter limits each input partition to n rows per station before the
-    shuffle, so a big station costs no more than a small one.
+    Each input partition is limited to n rows per station before the shuffle that brings
+    stations together, so a big station costs no more than a small one: by the rank
+    filter for small n, by ranks inside each input partition for others.
     """
-    newest = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in (*order, *tiebreak)])
-    ranked = df.withColumn("_newest", F.row_number().over(newest))
-    return ranked.filter(F.col("_newest") <= n).drop("_newest")
+    last = [F.desc(c) for c in (*order, *tiebreak)]
+
+    def ranked(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(*last))
+        return rows.withColumn("_newest", place).filter(F.col("_newest") <= n).drop("_newest")
+
+    if n > RANK_LIMIT:
+        df = ranked(df.withColumn("_source", F.spark_partition_id()), [*keys, "_source"]).drop("_source")
+    return ranked(df, keys)
 
 
 def latest_rows_global(df: DataFrame, n: int, tiebreak: Sequence[str] = (STATION,)) -> DataFrame:

@@ -56,6 +56,16 @@ def add_folds(
     return add_segments(numbered.result(), max_folds)
 
 
+def add_split_and_folds(
+    df: DataFrame,
+    test_size: float = 0.2,
+    max_folds: int = 5,
+    **arranged,
+) -> DataFrame:
+    """:func:`add_split` and :func:`add_folds` on one arrangement: one shuffle and one sort for both."""
+    return add_segments(add_split(df, test_size, **arranged), max_folds)
+
+
 def split_report(df: DataFrame) -> DataFrame:
     """Size, share and date range of each side of the split."""
     sides = df.groupBy("is_train").agg(

@@ -97,4 +97,10 @@ class PanelFeaturesModel(Model, _PanelParams, DefaultParamsReadable, DefaultPara
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         station = self.getOrDefault(self.station)
-        return features_from_raw(dataset, station or None)
+        rows = features_from_raw(dataset, station or None)
+        saved = self.get_feature_columns() if self.isDefined(self.columns) else feature_columns(rows)
+        missing = [c for c in saved if c not in rows.columns]
+        if missing:
+            raise ValueError(f"feature columns missing from the input: {missing}")
+        # a number that the input has in addition is no feature of this model
+        return rows.drop(*[c for c in feature_columns(rows) if c not in saved])
