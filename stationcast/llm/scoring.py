@@ -13,8 +13,7 @@ task goes on from the common parameters over its own documents, and the results
 averaged by the number of symbols seen. Only parameters travel, summed in ``SLOTS``
 groups before the driver adds those up.
 
-Counts of the ``COMMON`` most frequent words go to the tasks as a list of that bounded
-length; all other words meet their counts in a join. Texts are scored whole, with the
+Counts of the most frequent words, ``COMMON`` at most, go to the tasks as a list; all other words meet their counts in a join. Texts are scored whole, with the
 state carried from the first token to the last.
 
 Null and empty texts are the end alone. Without training documents every probability is
@@ -39,6 +38,7 @@ from stationcast.llm import gru
 from stationcast.llm.common import codes_of, id_crc, slices, split_words, texts_of
 from stationcast.session import durable
 
+#: At most so many words are known to all tasks, with all words of the same frequency or none.
 COMMON = 100_000
 ENDINGS = 63
 ROUNDS = 4
@@ -116,7 +116,16 @@ class Vocabulary:
 
 def vocabulary(totals: DataFrame, n_documents: int) -> Vocabulary:
     """The vocabulary of written word counts and the number of training documents."""
-    common = totals.orderBy(F.desc("c"), "word").limit(COMMON).select("word", "c").toPandas()
+    # by steps of a 64th of a doubling, so that few numbers tell how low the counts may go
+    step = F.floor(F.log2("c") * 64)
+    left, least = COMMON, None
+    for row in totals.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
+        left -= row.n
+        if left < 0:
+            break
+        least = row.step
+    frequent = totals.filter(step >= least) if least is not None else totals.limit(0)
+    common = frequent.select("word", "c").toPandas().sort_values(["c", "word"], ascending=[False, True])
     head = common["word"].tolist()[:HEAD]
     rest = totals.join(F.broadcast(totals.sparkSession.createDataFrame([(w,) for w in head], "word string")), "word", "left_anti")
     ending = F.substring("word", -2, 2)
