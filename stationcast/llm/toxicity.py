@@ -13,8 +13,9 @@ difference; a logistic model fitted on training documents turns these into a sco
 its threshold of 0.5 is calibrated on labels.
 
 The fit uses at most ``TOXIC`` and ``ORDINARY`` labelled documents, those with the
-smallest hash of their id, of at most ``MOST_CHARS`` characters. Scores cover whole
-texts. Null and empty texts have no windows and get the score of that. Without training
+smallest hash of their id, of at most ``MOST_CHARS`` characters. All labels are counted by
+class, and the intercept is shifted from the odds of the sample to the odds of the labels, so
+that the threshold doesn't depend on the size of the table. Scores cover whole texts. Null and empty texts have no windows and get the score of that. Without training
 texts of both kinds every score is the share of toxic ones (0 without any). Equal texts
 get equal scores.
 """
@@ -156,8 +157,8 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, steps: int = 30
     return w
 
 
-def train(texts: list[str], toxic: list[int]) -> Model:
-    """A model of labelled texts."""
+def train(texts: list[str], toxic: list[int], each: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """A model of labelled texts, where an ordinary and a toxic one stand for ``each`` of their class."""
     y = np.array(toxic, float)
     share = float(y.mean()) if len(y) else 0.0
     if not 0 < share < 1:
@@ -174,12 +175,24 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     x = np.array([model.features(t) for t in texts])
     model.center, model.spread = x.mean(axis=0), x.std(axis=0) + 1e-9
     model.weights = logistic((x - model.center) / model.spread, y)
+    model.weights[0] += math.log(each[1] / each[0])
     return model
 
 
+def usable(labels: DataFrame, use: Column) -> DataFrame:
+    """The labels (``key``, ``toxic``) that ``use`` accepts."""
+    return labels.filter(use & F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("key"), "toxic")
+
+
+def stands_for(labels: DataFrame, use: Column) -> tuple[float, float]:
+    """The labels for each one taken into the sample, of ordinary and of toxic texts."""
+    count = {r["toxic"]: r["count"] for r in usable(labels, use).groupBy("toxic").count().collect()}
+    return max(count.get(0, 0) / ORDINARY, 1.0), max(count.get(1, 0) / TOXIC, 1.0)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """At most ``TOXIC`` and ``ORDINARY`` labelled texts (``text``, ``toxic``) out of the rows that ``use`` accepts."""
-    named = labels.filter(use & F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("key"), "toxic")
+    named = usable(labels, use)
     order = F.xxhash64("key"), "key"
     chosen = [named.filter(F.col("toxic") == t).orderBy(*order).limit(n) for t, n in ((1, TOXIC), (0, ORDINARY))]
     texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).filter(F.length("text") <= MOST_CHARS)
@@ -189,7 +202,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, use: Column, id_col: str =
 
 def fit(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text") -> Model:
     rows = training_rows(docs, labels, use, id_col, text_col).collect()
-    return train([r.text for r in rows], [r.toxic for r in rows])
+    return train([r.text for r in rows], [r.toxic for r in rows], stands_for(labels, use))
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,6 +13,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stationcast.llm import bpe, chunks, gru, language, packing, pages, quality, scoring, simhash, toxicity
@@ -112,6 +113,24 @@ def test_op4_marks():
     assert (model.scores(toxic[100:]) >= 0.5).mean() > 0.9 and (model.scores(clean[100:]) >= 0.5).mean() < 0.1
 
 
+def test_op4_threshold_with_small_caps(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    held = docs.join(labels, "doc_id").filter(~toxicity.in_training() & F.col("toxic").isin(0, 1)).select("text", "toxic").collect()
+    true = np.array([r.toxic for r in held])
+
+    def found(model):
+        scores = model.scores([r.text for r in held])
+        return scores.mean(), (scores[true == 0] >= 0.5).mean()
+
+    mean, _ = found(toxicity.fit(docs, labels, toxicity.in_training()))
+    monkeypatch.setattr(toxicity, "TOXIC", 300)
+    monkeypatch.setattr(toxicity, "ORDINARY", 600)
+    few_mean, few_false = found(toxicity.fit(docs, labels, toxicity.in_training()))
+    assert abs(mean - true.mean()) < 0.02 and abs(few_mean - true.mean()) < 0.02
+    assert few_false < 0.03  # 0.044 without the shift
+
+
 def test_op5_given_pages(spark, sf):
     import html
 
