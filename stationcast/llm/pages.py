@@ -13,7 +13,11 @@ Lines of links before the first and after the last content line of a region go.
 
 Null and empty pages, and pages without text, give the empty string. Broken markup is
 read as far as it goes: a missing end tag ends with its parent, a stray one is ignored.
-If the words of class and id leave nothing, they are not applied. Whole pages are read.
+Words of class and id, and forms, hide an element only while it holds no ``main``, no article
+of a page without another one, and less text than the rest of the page and twice what was
+chosen; otherwise the page is read again with that element open. Words with has-, no- or
+with- before them and words on headings hide nothing; inside an article a name must consist
+of such words. If nothing is left, neither words nor forms hide anything. Whole pages are read.
 Repeated rows give repeated results.
 """
 
@@ -40,7 +44,7 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 #: Elements that never hold the main text.
 SKIPPED = frozenset(
-    "script style noscript template head title nav footer aside form iframe object svg math canvas audio video"
+    "script style noscript template head title nav footer aside iframe object svg math canvas audio video"
     " button select textarea dialog menu datalist".split()
 )
 #: ARIA roles that never hold the main text.
@@ -53,6 +57,16 @@ SKIPPED_WORDS = frozenset(
     " related recommended recommendations comment comments commentlist disqus reply replies respond search searchbox"
     " pagination pager widget toolbar copyright skip".split()
 )
+#: Of these, words of parts that often hold articles of their own, and of those that may be longer than the main text.
+CARD_WORDS = frozenset("related recommended recommendations sidebar promo promotion sponsor sponsored widget".split())
+READER_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: Words that are content inside an article, and words that add nothing to a name there.
+ARTICLE_WORDS = frozenset("header notice notification alert".split())
+PLAIN_WORDS = frozenset(
+    "area articles bar block box btn button buttons container content footer form group holder icon icons inline inner item items"
+    " left link links list news outer panel post posts right row section site stories top bottom widget wrap wrapper".split()
+)
+PREFIXES = frozenset("has no not with without".split())
 ARTICLE = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: An end tag of another element doesn't close these.
@@ -65,6 +79,9 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 LINKY = 0.8
 #: Inline elements looked through for the paragraph that a block ends.
 DEEP = 64
+#: Readings of a page that open one hidden part each.
+READINGS = 8
+OPEN, CLOSED, HIDDEN = range(3)
 
 
 @dataclass
@@ -76,13 +93,26 @@ class Line:
     heading: bool
 
 
+@dataclass
+class Part:
+    """An element hidden by a word or as a form: its place among the start tags, its words and what it holds."""
+
+    place: int
+    words: set[str]
+    chars: int = 0
+    main: bool = False
+    article: bool = False
+
+
 class Lines(HTMLParser):
-    """Collects the lines of a page."""
+    """Collects the lines of a page and the hidden parts; those whose place is in ``shown`` are not hidden."""
 
-    def __init__(self, use_words: bool = True):
+    def __init__(self, use_words: bool = True, shown: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
-        self.use_words = use_words
-        self.stack: list[tuple[str, bool, int | None]] = []  # element, skipped, region
+        self.use_words, self.shown = use_words, shown
+        self.stack: list[tuple[str, int, int | None]] = []  # element, OPEN, CLOSED or HIDDEN, region
+        self.parts: list[Part] = []
+        self.place = 0
         self.found: list[Line] = []
         self.text: list[str] = []
         self.open: Counter = Counter()
@@ -96,16 +126,30 @@ class Lines(HTMLParser):
         named = dict(attrs)
         if tag == "header" and region is None or "hidden" in named or (named.get("role") or "").lower() in SKIPPED_ROLES:
             return True
-        if self.use_words and ("class" in named or "id" in named):
-            words = WORD.findall(f"{named.get('class') or ''} {named.get('id') or ''}")
-            allowed = {"header"} if region is not None else set()
-            return any(w.lower() in SKIPPED_WORDS and w.lower() not in allowed for w in words)
         return False
 
+    def hiding(self, tag: str, attrs: list[tuple[str, str | None]], region: int | None) -> set[str]:
+        """The words that hide an element (of a form also its name)."""
+        if not self.use_words or tag in ("html", "body", *HEADINGS) or tag in ARTICLE and region is None:
+            return set()
+        named = dict(attrs)
+        found = {"form"} if tag == "form" else set()
+        for name in f"{named.get('class') or ''} {named.get('id') or ''}".split():
+            words = [w.lower() for w in WORD.findall(name)]
+            if not words or words[0] in PREFIXES:
+                continue
+            own = SKIPPED_WORDS.intersection(words)
+            if region is not None:
+                own -= ARTICLE_WORDS
+                if tag == "p" or not all(w in own or w in PLAIN_WORDS for w in words):
+                    continue
+            found |= own
+        return found
+
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            tag, _, region = self.stack[-1] if self.stack else ("", False, None)
+            tag, _, region = self.stack[-1] if self.stack else ("", OPEN, None)
             heading = any(t in HEADINGS for t, _, _ in self.stack[-4:])
             self.found.append(Line(text, max(self.tags, 1), self.link_chars / max(self.chars, 1), region, heading))
             self.tags = 0
@@ -119,6 +163,7 @@ class Lines(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
+        self.place += 1
         if tag in BLOCKS:
             self.flush()
             if tag not in VOID:
@@ -135,10 +180,18 @@ class Lines(HTMLParser):
             at = next((i for i, (t, skipped, _) in enumerate(self.stack) if skipped and t in ("nav", "head", "title")), None)
             if at is not None:
                 self.pop_to(at)
-        skipped, region = self.stack[-1][1:] if self.stack else (False, None)
-        if not skipped:
-            skipped = self.skips(tag, attrs, region)
-            if tag in ARTICLE and region is None and not skipped:
+        skipped, region = self.stack[-1][1:] if self.stack else (OPEN, None)
+        if skipped != CLOSED and self.skips(tag, attrs, region):
+            skipped = CLOSED
+        elif skipped == HIDDEN:
+            self.parts[-1].main |= tag == "main"
+            self.parts[-1].article |= tag == "article"
+        elif skipped == OPEN:
+            words = self.hiding(tag, attrs, region)
+            if words and self.place not in self.shown:
+                skipped = HIDDEN
+                self.parts.append(Part(self.place, words))
+            elif tag in ARTICLE and region is None:
                 region = self.regions
                 self.regions += 1
         self.in_link += tag == "a"
@@ -165,6 +218,8 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if self.stack and self.stack[-1][1]:
+            if self.stack[-1][1] == HIDDEN and not self.in_link:
+                self.parts[-1].chars += len("".join(data.split()))
             return
         self.text.append(data)
         n = len(data) - data.count(" ")
@@ -173,12 +228,32 @@ class Lines(HTMLParser):
             self.link_chars += n
 
 
-def lines_of(html: str, use_words: bool = True) -> list[Line]:
-    parser = Lines(use_words)
+def read(html: str, use_words: bool = True, shown: frozenset[int] = frozenset()) -> Lines:
+    parser = Lines(use_words, shown)
     parser.feed(html)
     parser.close()
     parser.flush()
-    return parser.found
+    return parser
+
+
+def plain_chars(lines: list[Line]) -> float:
+    """Characters outside links, without spaces."""
+    return sum(len(x.text.replace(" ", "")) * (1 - x.links) for x in lines)
+
+
+def wrongly_hidden(page: Lines, chosen: list[Line]) -> set[int]:
+    """Places of the hidden parts that hold the page's article or most of its text."""
+    if not page.parts:
+        return set()
+    kept, total = plain_chars(chosen), plain_chars(page.found) + sum(p.chars for p in page.parts)
+    marked = any(x.region is not None for x in page.found)
+    return {
+        p.place
+        for p in page.parts
+        if p.main
+        or p.article and not marked and not p.words & (CARD_WORDS | READER_WORDS)
+        or not p.words & READER_WORDS and (p.chars > total / 2 or p.chars > 2 * kept)
+    }
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -236,7 +311,17 @@ def choose(lines: list[Line]) -> list[Line]:
 
 def main_text(html: str) -> str:
     """The main text of a page."""
-    chosen = choose(lines_of(html)) or choose(lines_of(html, use_words=False))
+    shown: frozenset[int] = frozenset()
+    for _ in range(READINGS):
+        page = read(html, shown=shown)
+        chosen = choose(page.found)
+        wrong = wrongly_hidden(page, chosen)
+        if not wrong:
+            break
+        shown |= wrong
+    else:
+        chosen = []
+    chosen = chosen or choose(read(html, use_words=False).found)
     return " ".join(x.text for x in chosen)
 
 

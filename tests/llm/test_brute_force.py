@@ -160,6 +160,26 @@ def test_op5_other_pages():
         assert isinstance(pages.main_text(broken), str)
 
 
+def test_op5_words_hide_no_main_text():
+    one = "This paragraph says quite a lot about the matter at hand, in many words, so that it counts as content."
+    two = "A different paragraph of the body with enough words to be long, and to be kept by all means."
+    other = "<p>Other paragraph left on the page.</p>"
+    for page in (
+        f'<div class="site has-sidebar"><article><p>{one}</p><p>{two}</p></article></div>{other}',
+        f'<div id="page" class="no-sidebar"><article><p>{one}</p><p>{two}</p></article></div>{other}',
+        f'<div class="menu-page"><main><p>{one}</p><p>{two}</p></main></div>{other}',
+        f'<article><p>{one}</p><section id="search-methods"><p>{two}</p></section></article>',
+        f'<article><p>{one}</p><div class="menu-of-the-day"><p>{two}</p></div></article>',
+        f'<article><p>{one}</p><p class="notice">{two}</p></article>',
+        f'<article><p>{one}</p><p>{two}</p><div class="share-buttons">Send this to a friend</div></article>',
+        f'<article><p>{one}</p><p>{two}</p></article><div class="comments"><article>{one * 9}</article></div>',
+        f'<form id="aspnetForm"><div class="sidebar"><p>Popular stories.</p></div><div><p>{one}</p><p>{two}</p></div></form>',
+        "".join(f'<div class="menu{i} menu">' for i in range(12)) + f"<p>{one}</p><p>{two}</p>",
+    ):
+        assert pages.main_text(page) == f"{one} {two}"
+    assert pages.main_text(f'<article><h2 id="related-work">Related work</h2><p>{one}</p></article>') == f"Related work {one}"
+
+
 def test_op6_base_counts():
     r = random.Random(2)
     some = [" ".join(r.choices(["a", "b#", "<c>", "d\n", "a b c d e f g h", "i\n \n"], k=r.randint(0, 60))) for _ in range(200)] + texts(200, 60)
