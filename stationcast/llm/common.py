@@ -88,6 +88,13 @@ def codes_of(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def ragged_ranges(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges 0 to ``size[i] - 1``, one after the other: the range's number and the place in it."""
+    size = np.asarray(size, np.int64)
+    which = np.repeat(np.arange(len(size)), size)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: spreads small integers over all 64 bits."""
     x = x.astype(np.uint64)
