@@ -9,10 +9,12 @@ deficit on its way; the words of the leaves it ends in are verified letter by le
 The upper levels of the trie are the partitioning. Words are cut into *units*, nodes of the
 trie with at most ``UNIT_WORDS`` words: nodes of level ``START``, or deeper ones below a
 node that holds more. Leaves that hold more are cut into chunks. A word visits the units
-that its budget reaches in the upper levels, but only those after its own, so each pair is
-met once. A task holds one unit (or chunk) as a trie and searches it for all visitors at a
-time, blocks of search states being taken depth first. Only words of different units that
-the budget allows, and pairs that are near, are shuffled.
+that its budget reaches in the upper levels, but only deeper ones than its own and later
+ones of the same depth, so each pair is met once. As no unit holds more words than allowed,
+and a budget of one each reaches a unit from few others, its visitors are bounded too,
+however many words its neighbours' parents hold. A task holds one unit (or chunk) as a trie
+and searches it for all visitors at a time, blocks of search states being taken depth
+first. Only words on their visits, and pairs that are near, are shuffled.
 
 Words: runs of letters, A-Z lower-cased, from whole texts, of which some lose a letter by a
 rule on the document and the run. Null texts have no words and a null id counts as empty
@@ -43,7 +45,7 @@ DROPPED = 199
 GROUPS = 16
 #: Levels of the trie that every unit has, and the most words of a unit.
 START = 4
-UNIT_WORDS = 16_384
+UNIT_WORDS = 4096
 #: Heavy nodes up to this number are broadcast.
 BROADCAST_NODES = 100_000
 #: Search states, and letters compared, at a time.
@@ -86,17 +88,13 @@ STATE = "array<struct<path: array<int>, surplus: int, deficit: int>>"
 
 
 def one_deeper(state: Column, vector: Column) -> Column:
-    """The states one level below: the word's own count, one more, or one less, as the budget allows.
-
-    Paths that sort before the word's own are left out: from there, the other word comes here.
-    """
+    """The states one level below: the word's own count, one more, or one less, as the budget allows."""
     own = F.get(vector, F.size(state.path))
     same = F.struct(F.concat(state.path, F.array(own)).alias("path"), state.surplus, state.deficit)
     more = F.struct(F.concat(state.path, F.array(own + 1)).alias("path"), F.lit(1).alias("surplus"), state.deficit)
     less = F.struct(F.concat(state.path, F.array(own - 1)).alias("path"), state.surplus, F.lit(1).alias("deficit"))
     reached = F.array(same, F.when(state.surplus == 0, more), F.when((state.deficit == 0) & (own > 0), less))
-    ahead = F.filter(reached, lambda s: s.isNotNull() & (s["path"] >= F.slice(vector, F.lit(1), F.size(s["path"]))))
-    return ahead.cast(STATE)
+    return F.array_compact(reached).cast(STATE)
 
 
 def routed(words: DataFrame, heavy: DataFrame, n_heavy: int, deepest: int, most: int, start: int = START) -> DataFrame:
@@ -104,20 +102,25 @@ def routed(words: DataFrame, heavy: DataFrame, n_heavy: int, deepest: int, most:
     vector = F.col("vector")
     root = F.array(F.struct(F.array().cast("array<int>").alias("path"), F.lit(0).alias("surplus"), F.lit(0).alias("deficit"))).cast(STATE)
     down = lambda states, _: F.flatten(F.transform(states, lambda s: one_deeper(s, vector)))
-    states = F.aggregate(F.sequence(F.lit(1), F.lit(start)), root, down)
-    rows = words.withColumn("at", F.explode(states))
     marks = F.broadcast(heavy) if n_heavy <= BROADCAST_NODES else heavy
+    nodes = {d: marks.filter(F.size("path") == d).select(F.col("path").alias("heavy"), F.col("n").alias("held")) for d in range(start, deepest + 1)}
+    rows = words.withColumn("depth", F.lit(start))  # of the word's own unit: below all heavy nodes on its way
+    for depth in range(start, min(deepest, GROUPS - 1) + 1):
+        met = rows.join(nodes[depth], F.slice(vector, F.lit(1), F.lit(depth)) == F.col("heavy"), "left")
+        rows = met.withColumn("depth", F.col("depth") + F.col("heavy").isNotNull().cast("int")).drop("heavy", "held")
+    rows = rows.withColumn("at", F.explode(F.aggregate(F.sequence(F.lit(1), F.lit(start)), root, down)))
     for depth in range(start, deepest + 1):
-        here = marks.filter(F.size("path") == depth).select(F.col("path").alias("heavy"), F.col("n").alias("held"))
-        met = rows.join(here, (F.col("at.path") == F.col("heavy")), "left")
+        met = rows.join(nodes[depth], F.col("at.path") == F.col("heavy"), "left")
         if depth < GROUPS:  # go on below a heavy node
             below = F.when(F.col("heavy").isNotNull(), one_deeper(F.col("at"), vector)).otherwise(F.array("at").cast(STATE))
             rows = met.withColumn("at", F.explode(below)).drop("heavy", "held")
         else:
             rows = met.withColumnRenamed("held", "in_leaf").drop("heavy")
+    own_path, reach = F.slice(vector, F.lit(1), F.col("depth")), F.size("at.path")
+    rows = rows.filter((reach > F.col("depth")) | ((reach == F.col("depth")) & (F.col("at.path") >= own_path)))
     n_chunks = F.ceil(F.coalesce("in_leaf", F.lit(1)) / most).cast("int") if "in_leaf" in rows.columns else F.lit(1)
     own_chunk = F.pmod(F.xxhash64("word"), n_chunks).cast("int")
-    at_home = F.col("at.path") == F.slice(vector, F.lit(1), F.size("at.path"))
+    at_home = F.col("at.path") == own_path
     chunks = F.when(at_home, F.sequence(own_chunk, n_chunks - 1)).otherwise(F.sequence(F.lit(0), n_chunks - 1))
     rows = rows.select("*", at_home.alias("home"), own_chunk.alias("own"), F.explode(chunks).alias("chunk"))
     return rows.select(

@@ -188,3 +188,5 @@ def test_units_are_bounded(spark):
     homes = routed.filter("kind = 0")
     assert homes.count() == len(some)
     assert homes.groupBy("path", "chunk").count().agg(F.max("count")).first()[0] < 50 * 1.6
+    visits = routed.groupBy("path", "chunk").agg(F.count_if(F.col("kind") == 1).alias("n")).agg(F.max("n")).first()[0]
+    assert visits < 50 * 1.6 * 14
