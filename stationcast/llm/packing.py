@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
 from stationcast.llm.common import slices, texts_of
-from stationcast.llm.tokens import Memory, library_encode
+from stationcast.llm.tokens import library_memory
 from stationcast.session import durable
 
 SIZE = 2048
@@ -96,7 +96,7 @@ def pieces(
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Memory(library_encode(path))
+        memory = library_memory(path)
         for batch in batches:
             for part in slices(batch):
                 ids, counts = memory.encode_texts(texts_of(part))

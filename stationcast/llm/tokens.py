@@ -57,6 +57,11 @@ class Memory:
             self.known = dict(list(found.items())[:REMEMBERED])
         return out
 
+    def encode_units(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct units one after the other, and each unit's number of ids."""
+        packed = self.lookup(units.to_pylist())
+        return np.frombuffer(b"".join(packed), "<u4"), np.array([len(b) >> 2 for b in packed], np.int64)
+
     def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and each text's number of ids."""
         safe = unit_safe(texts)
@@ -66,16 +71,17 @@ class Memory:
         inner = np.concatenate([[False], rows[1:] == rows[:-1]]) if len(rows) else np.zeros(0, bool)
         units = pc.binary_join_element_wise(pc.if_else(pa.array(inner), " ", ""), flat, "")
         coded = units.dictionary_encode()
-        packed = self.lookup(coded.dictionary.to_pylist())
+        flat_ids, length = self.encode_units(coded.dictionary)
         whole = np.flatnonzero(~safe)
-        packed += [ids.astype("<u4").tobytes() for ids in self.encode(texts.take(pa.array(whole)).to_pylist())]
-        length = np.array([len(b) >> 2 for b in packed], np.int64)
+        others = self.encode(texts.take(pa.array(whole)).to_pylist()) if len(whole) else []
+        flat_ids = np.concatenate([flat_ids, *others])
+        length = np.concatenate([length, np.array([len(x) for x in others], np.int64)])
         start = np.cumsum(length) - length
         codes = np.concatenate([coded.indices.to_numpy().astype(np.int64), np.arange(len(whole)) + len(coded.dictionary)])
         rows = np.concatenate([rows, whole])
         order = np.argsort(rows, kind="stable")
         codes, rows = codes[order], rows[order]
-        ids = ragged(np.frombuffer(b"".join(packed), "<u4"), start[codes], length[codes])
+        ids = ragged(flat_ids, start[codes], length[codes])
         return ids, np.bincount(rows, weights=length[codes], minlength=len(texts)).astype(np.int64)
 
 
@@ -86,12 +92,56 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)]
 
 
+class Joined(Memory):
+    """Encodes all distinct units of a run in one string, which is faster than remembering them.
+
+    A piece of the pattern never reaches over the space that begins a unit, so the string's
+    ids are the units' ids; ``size`` (bytes of each id) tells where a unit's ids end. Units
+    that don't begin with a space, hold other white space, or a special token, are encoded
+    one by one.
+    """
+
+    def __init__(self, encode: Encode, encode_long: Callable[[str], np.ndarray], size: np.ndarray, special: list[str]):
+        super().__init__(encode)
+        self.encode_long, self.size, self.special = encode_long, size, special
+
+    def encode_units(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        apart = pc.invert(pc.match_substring_regex(units, r"^ [^\s]+$"))
+        for token in self.special:
+            apart = pc.or_(apart, pc.match_substring(units, token))
+        apart = apart.to_numpy(zero_copy_only=False)
+        joined = units.filter(pa.array(~apart))
+        ids = self.encode_long("".join(joined.to_pylist()))
+        ends = np.cumsum(pc.binary_length(joined).to_numpy(), dtype=np.int64)
+        stops = np.searchsorted(np.cumsum(self.size[ids], dtype=np.int64), ends, "left") + 1
+        others = self.encode(units.filter(pa.array(apart)).to_pylist())
+        length = np.zeros(len(units), np.int64)
+        length[~apart] = np.diff(stops, prepend=0)
+        length[apart] = [len(x) for x in others]
+        start = np.zeros(len(units), np.int64)
+        start[~apart] = stops - length[~apart]
+        start[apart] = len(ids) + np.cumsum(length[apart]) - length[apart]
+        return ragged(np.concatenate([ids, *others]), start, length), length
+
+
+def _plain_pieces(data: dict) -> bool:
+    """Whether a vocabulary file cuts texts by :data:`PIECES` alone and takes special tokens as they stand."""
+    cut = data["pre_tokenizer"] or {}
+    odd = any(t.get(k) for t in data["added_tokens"] for k in ("lstrip", "rstrip", "single_word", "normalized"))
+    return cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and not data.get("normalizer") and not odd
+
+
 def library_encode(path: str) -> Encode:
-    """``encode`` of the vocabulary file of the tokenizers library at ``path``, without special tokens added.
+    """``encode`` of the vocabulary file of the tokenizers library at ``path``, without special tokens added."""
+    return library_memory(path).encode
+
+
+def library_memory(path: str) -> Memory:
+    """Encodes runs of texts like the vocabulary file of the tokenizers library at ``path``, without special tokens added.
 
-    The ids are those of that library. They are found with tiktoken, which takes a
-    quarter of the time on single words; it needs merges in the order of the ids they
-    make, so any other vocabulary is left to the tokenizers library itself.
+    The ids are those of that library. They are found with tiktoken, which is faster; it
+    needs merges in the order of the ids they make and the plain byte-level pattern, so
+    any other vocabulary is left to the tokenizers library itself.
     """
     import json
 
@@ -103,11 +153,11 @@ def library_encode(path: str) -> Encode:
     ids, merges = data["model"]["vocab"], data["model"]["merges"]
     made = [ids["".join(m.split(" ") if isinstance(m, str) else m)] for m in merges]
     special = {t["content"]: t["id"] for t in data["added_tokens"]}
-    if made != sorted(made) or len(made) + 256 != len(ids) or (data["pre_tokenizer"] or {}).get("type") != "ByteLevel":
+    if made != sorted(made) or len(made) + 256 != len(ids) or not _plain_pieces(data):
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        return lambda strings: [np.array(tokenizer.encode(s, add_special_tokens=False).ids, np.uint32) for s in strings]
+        return Memory(lambda strings: [np.array(tokenizer.encode(s, add_special_tokens=False).ids, np.uint32) for s in strings])
     byte_of = {c: b for b, c in enumerate(byte_characters())}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in ids.items()}
     ranked = tiktoken.Encoding("file", pat_str=PIECES, mergeable_ranks=ranks, special_tokens=special)
@@ -118,4 +168,7 @@ def library_encode(path: str) -> Encode:
             for s in strings
         ]
 
-    return encode
+    size = np.zeros(max(ids.values()) + 1, np.int64)
+    for token, i in ranks.items():
+        size[i] = len(token)
+    return Joined(encode, lambda text: ranked.encode_to_numpy(text, disallowed_special=()), size, list(special))

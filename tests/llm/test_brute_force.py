@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 from stationcast.llm import bpe, chunks, gru, language, packing, pages, quality, scoring, simhash, toxicity
 from stationcast.llm.queries import QUERIES
-from stationcast.llm.tokens import Memory, library_encode
+from stationcast.llm.tokens import Memory, library_encode, library_memory
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -298,8 +298,10 @@ def test_op8_like_the_library(spark, sf, plain):
     library, own = Tokenizer.from_file(PATH), bpe.Vocabulary(PATH)
     some = [*texts(3000), "ab" * 3000, "a" * 5000, "!?" * 999, "x" * 64, "y" * 65, "z" * 63, *list(plain.values())[:40]]
     expected = [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
-    for encode in (own.encode, library_encode(PATH)):
-        ids, counts = Memory(encode).encode_texts(pa.array(some))
+    spaced = [" ".join(t) for t in itertools.batched(some, 3)] + [" a", "a ", " ", "", " <|endoftext|> x", "it's a\nb \u00e9t\u00e9 1 2 3"]
+    some, expected = some + spaced, expected + [e.ids for e in library.encode_batch(spaced, add_special_tokens=False)]
+    for memory in (Memory(own.encode), Memory(library_encode(PATH)), library_memory(PATH)):
+        ids, counts = memory.encode_texts(pa.array(some))
         assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == expected
     r = random.Random(5)
     ids = [[r.randrange(own.size) for _ in range(r.randint(0, 6))] for _ in range(2000)]
