@@ -107,8 +107,8 @@ def m10_single(spark, sf):
     ready = VectorAssembler(inputCols=["no2"], outputCol="features").transform(rows)
     fitted = training.linear_regression().setLabelCol("pm25").fit(ready)
     return rows.agg(
-        F.round(F.lit(float(fitted.coefficients[0])), 4).alias("slope"),
-        F.round(F.lit(float(fitted.intercept)), 4).alias("intercept"),
+        F.round(F.lit(fitted.coefficients[0]), 4).alias("slope"),
+        F.round(F.lit(fitted.intercept), 4).alias("intercept"),
         F.count(F.lit(1)).alias("n"),
     )
 
@@ -199,6 +199,53 @@ def m14(spark, sf):
     return _folds(training.Trained(prepared, {}, None, None, errors))
 
 
+#: Training rows with fold blocks and one feature, gaps filled with the training median.
+ONE_FEATURE = f"(select station, obs_date, pm25 as y, coalesce(no2, (select median(no2) from {TRAINED} where side = 'train')) as x, block, k from {FOLD_BLOCKS})"
+
+
+@query("m14_fold_errors_one_feature", sql(f"""
+select f.fold, count(*) as n_test, round(avg(abs(t.y - (f.a + f.b * t.x))), 6) as fold_mae
+from {ONE_FEATURE} t join (
+  select cast(fold as int) as fold, regr_slope(y, x) as b, regr_intercept(y, x) as a
+  from {ONE_FEATURE}, (select unnest([1, 2, 3, 4, 5]) as fold) where block < fold group by fold
+) f on t.block = f.fold group by f.fold""", "feat"))
+def m14_one_feature(spark, sf):
+    """Errors of all folds of least squares with one feature."""
+    prepared = training.prepare(base.feature_rows(spark, sf), columns=["no2"], **base.UNIQUE)
+    errors = training.cross_validate(prepared, training.linear_regression, "LinearRegression")
+    sizes = prepared.train.groupBy(F.col("block").alias("fold")).agg(F.count(F.lit(1)).alias("n_test"))
+    return errors.join(sizes, "fold").select("fold", "n_test", F.round("fold_mae", 6).alias("fold_mae"))
+
+
+SPLIT_ONE = f"(select station, side, pm25 as y, coalesce(no2, (select median(no2) from {TRAINED} where side = 'train')) as x from {TRAINED})"
+
+
+@query("m13_station_models", sql(f"""
+select m.station, m.n, round(b, 6) as slope, round(a, 6) as intercept, round(avg(abs(t.y - (a + b * t.x))), 6) as test_mae
+from (select station, count(*) as n, regr_slope(y, x) as b, regr_intercept(y, x) as a from {SPLIT_ONE} where side = 'train' group by station) m
+join {SPLIT_ONE} t on t.station = m.station and t.side = 'test' group by m.station, m.n, a, b""", "feat"))
+def m13_station_models(spark, sf):
+    """A model of its own for every station, all from one shuffle."""
+    found = training.train_stations(base.feature_rows(spark, sf), columns=["no2"], **base.UNIQUE)
+    test = found.metrics.filter("side = 'test'").select(STATION, F.round("mae", 6).alias("test_mae"))
+    return found.models.join(test, STATION).select(
+        STATION, "n", F.round(F.col("weights")[0], 6).alias("slope"), F.round("intercept", 6).alias("intercept"), "test_mae"
+    )
+
+
+@query("m13_station_folds", sql(f"""
+select t.station, cast(t.block as int) as fold, count(*) as n_test, round(avg(abs(t.y - (f.a + f.b * t.x))), 6) as fold_mae
+from {ONE_FEATURE} t join (
+  select station, fold, regr_slope(y, x) as b, regr_intercept(y, x) as a
+  from {ONE_FEATURE}, (select unnest([1, 2, 3, 4, 5]) as fold) where block < fold and fold <= k group by station, fold
+) f on t.station = f.station and t.block = f.fold group by t.station, t.block""", "feat"))
+def m13_station_folds(spark, sf):
+    """Fold errors of every station's own models."""
+    found = training.train_stations(base.feature_rows(spark, sf), columns=["no2"], **base.UNIQUE)
+    sizes = found.prepared.train.groupBy(STATION, F.col("block").alias("fold")).agg(F.count(F.lit(1)).alias("n_test"))
+    return found.folds.join(sizes, [STATION, "fold"]).select(STATION, "fold", "n_test", F.round("fold_mae", 6).alias("fold_mae"))
+
+
 CHAIN = "select *, cast(year(obs_date) * 100 + month(obs_date) as int) as periode_data, cast(month(obs_date) as int) as bulan from feat"
 
 

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml import Estimator, PipelineModel
+from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +24,7 @@ from ..operators.split import add_segments, add_split
 from ..schema import DATE, STATION, TARGET
 from ..session import durable, ensure_checkpoint_dir
 from ..sources.artifacts import save_artifacts
+from .least_squares import LeastSquares, group_models, score_groups
 from .stages import MedianImputer
 
 SEED = 42
@@ -51,8 +52,9 @@ def boosted_trees(**changes) -> GBTRegressor:
     return GBTRegressor(labelCol="label", **{**settings, **changes})
 
 
-def linear_regression(**changes) -> LinearRegression:
-    return LinearRegression(labelCol="label", **{"regParam": 0.0, "solver": "normal", **changes})
+def linear_regression(**changes) -> Estimator:
+    """Exact least squares; with ``changes`` (a penalty, another solver) the regression of Spark ML."""
+    return LinearRegression(labelCol="label", **changes) if changes else LeastSquares()
 
 
 def model_configurations() -> dict[str, Callable[..., Estimator]]:
@@ -111,6 +113,26 @@ class Trained:
         return table.filter(F.col("model").isin(good))
 
 
+@dataclass
+class StationModels:
+    """A model for every station: ``models`` has weights (in the order of the columns), intercept, rank and n."""
+
+    prepared: Prepared
+    models: DataFrame
+    predictions: DataFrame
+    metrics: DataFrame
+    folds: DataFrame
+
+    @property
+    def columns(self) -> list[str]:
+        return self.prepared.columns
+
+    def score(self, features: DataFrame) -> DataFrame:
+        """Feature rows with their station's prediction."""
+        ready = self.prepared.stages.transform(features)
+        return score_groups(ready, self.models, [STATION]).drop("features")
+
+
 def ranked(table: DataFrame, names: Sequence[str] = ()) -> DataFrame:
     """Add the configuration order of each model as ``rank``."""
     names = list(names) or list(model_configurations())
@@ -221,7 +243,10 @@ def cross_validate(
 
     None when no series is long enough for two folds. The folds (five at most) do not
     depend on each other; their distributed fits are submitted ``parallel`` at a time.
+    Least squares gets all folds from one scan.
     """
+    if isinstance(make(), LeastSquares):
+        return _exact(prepared, make(), name)[1]
     most = prepared.train.agg(F.max("fold_count")).first()[0]
     if not most:
         return None
@@ -233,15 +258,28 @@ def cross_validate(
     return spark.createDataFrame(rows, "model string, fold int, fold_mae double")
 
 
+def _exact(prepared: Prepared, estimator: LeastSquares, name: str) -> tuple[Model, DataFrame | None]:
+    """The fit of all training rows and the errors of all folds, from the same moments."""
+    fitted, folds = estimator.fit_blocks(prepared.train)
+    if not folds:
+        return fitted, None
+    errors = estimator.fold_errors(prepared.train, folds)
+    return fitted, errors.select(F.lit(name).alias("model"), F.col("fold").cast("int").alias("fold"), "fold_mae")
+
+
 def train_model(
     prepared: Prepared, make: Callable[[], Estimator], name: str, folds: bool = True
 ) -> tuple[PipelineModel, DataFrame, DataFrame | None]:
     """Fit one model: the full pipeline, its predictions on both sides, its fold errors."""
     ensure_checkpoint_dir(prepared.rows.sparkSession)
-    fitted = make().fit(prepared.train)
+    estimator, errors = make(), None
+    if isinstance(estimator, LeastSquares):
+        fitted, errors = _exact(prepared, estimator, name)
+    else:
+        fitted = estimator.fit(prepared.train)
+        errors = cross_validate(prepared, make, name) if folds else None
     model = PipelineModel(stages=[*prepared.stages.stages, fitted])
-    scored = _scored(prepared.rows, fitted, name)
-    return model, scored, cross_validate(prepared, make, name) if folds else None
+    return model, _scored(prepared.rows, fitted, name), errors if folds else None
 
 
 def model_status(predictions: DataFrame, table: DataFrame) -> dict[str, str]:
@@ -298,6 +336,36 @@ def train_all(
     )
 
 
+def train_stations(features: DataFrame, name: str = "LinearRegression", **options) -> StationModels:
+    """A least-squares model of its own for every station, in one run over all of them.
+
+    The rows are split, imputed and cut into folds as for one model of all stations (each
+    station at its own share). All models come from one shuffle of moments by station and
+    fold block; predictions, metrics and fold errors are tables by station. Stations whose
+    training side has no complete row have no model.
+    """
+    prepared = prepare(features, **options)
+    rows = prepared.rows.dropna(subset=[STATION])
+    train = rows.filter("is_train")
+    models = durable(group_models(train, [STATION]), "models")
+    predictions = score_groups(rows, models, [STATION]).select(
+        F.lit(name).alias("model"), F.when(F.col("is_train"), "train").otherwise("test").alias("side"), STATION, DATE, "label", "block", "prediction"
+    )
+    # fold k of a station learns from its blocks before k: rows of block b serve folds b + 1 and on
+    serves = F.explode(F.sequence(F.col("block") + 1, F.col("fold_count"))).alias("fold")
+    learned = train.filter(F.col("block") < F.col("fold_count")).select(STATION, serves, "label", "features")
+    fold_models = group_models(learned, [STATION, "fold"])
+    tested = train.filter("block >= 1").select(STATION, F.col("block").alias("fold"), "label", "features")
+    errors = score_groups(tested, fold_models, [STATION, "fold"]).groupBy(STATION, "fold")
+    return StationModels(
+        prepared,
+        models,
+        predictions,
+        metrics.evaluate(predictions, by=("model", "side", STATION)),
+        errors.agg(metrics.mae(F.col("label"), F.col("prediction")).alias("fold_mae")),
+    )
+
+
 def choose_and_save(spark: SparkSession, trained: Trained, path: str | None = None) -> dict | None:
     """Metadata of the best accepted model, saved with the model when a path is given."""
     table = trained.accepted()
