@@ -7,9 +7,6 @@ Null texts count as empty, unless an operator says otherwise.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,27 +16,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-#: Text bytes worked on at once inside a task.
-SLICE_BYTES = 4 << 20
-
+from stationcast.session import ship
 
-_shipped: set[str] = set()
+__all__ = ["ship"]
 
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, for applications that start from a source tree."""
-    if spark.sparkContext.applicationId in _shipped:
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(), "stationcast.zip")
-    with zipfile.ZipFile(path, "w") as out:
-        for folder, _, names in os.walk(package):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    file = os.path.join(folder, name)
-                    out.write(file, os.path.relpath(file, os.path.dirname(package)))
-    spark.sparkContext.addPyFile(path)
-    _shipped.add(spark.sparkContext.applicationId)
+#: Text bytes worked on at once inside a task.
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
