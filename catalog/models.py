@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stationcast.operators import features, fill
 from stationcast.operators.metrics import evaluate
-from stationcast.plans import scoring, training
+from stationcast.plans import scoring, training, trees
 from stationcast.plans.stages import MedianImputer, PanelFeatures, PanelFeaturesModel
 from stationcast.schema import (
     CONTEXT_POLLUTANTS,
@@ -80,6 +80,41 @@ def m9(spark, sf):
     return _sides(_train(spark, sf, "GradientBoosting", folds=False).predictions)
 
 
+#: Without bagging every tree sees all training rows, so each leaf's value is a mean of theirs.
+PLAIN_FOREST = {"bootstrap": False, "numTrees": 12, "maxDepth": 7}
+
+
+@query("m8_leaf_values", sql(f"""
+select tree, count(*) as n_rows, round(avg(pm25), 6) as mean_label, cast(0 as bigint) as wrong_leaves
+from {TRAINED}, (select unnest(range(12)) as tree) where side = 'train' group by tree""", "feat"))
+def m8_leaves(spark, sf):
+    """Every leaf of every tree against the rows that reach it by its table of nodes."""
+    trained = _train(spark, sf, "RandomForest", folds=False, **PLAIN_FOREST)
+    nodes = trees.node_table(spark, trained.models["RandomForest"], trained.prepared.columns)
+    found = trees.leaf_values(trained.prepared.train, nodes, F.col("label"))
+    same = (F.col("n") == F.col("n_rows")) & (F.abs(F.col("value") - F.col("mean_label")) < 1e-6)
+    return found.groupBy("tree").agg(
+        F.sum("n_rows").alias("n_rows"), F.round(F.sum(F.col("mean_label") * F.col("n_rows")) / F.sum("n_rows"), 6).alias("mean_label"),
+        F.count_if(~F.coalesce(same, F.lit(False))).alias("wrong_leaves"),
+    ).withColumn("tree", F.col("tree").cast("long"))
+
+
+@query("m8_m9_tree_tables", sql(f"""
+select model, station, side, count(*) as n, count(*) as n_equal
+from {TRAINED}, (select unnest(['RandomForest', 'GradientBoosting']) as model) group by all""", "feat"))
+def m8_m9_tables(spark, sf):
+    """Predictions of both ensembles from their tables of nodes, row by row beside the models' own."""
+    trained = _train(spark, sf, "RandomForest", "GradientBoosting", folds=False, maxDepth=5)
+    out = None
+    for name, model in trained.models.items():
+        nodes = trees.node_table(spark, model, trained.prepared.columns)
+        scored = trees.score(trained.prepared.rows, nodes).withColumnRenamed("prediction", "from_table")
+        own = trained.predictions.filter(F.col("model") == name).join(scored, [STATION, DATE])
+        out = own if out is None else out.unionByName(own)
+    equal = F.abs(F.col("prediction") - F.col("from_table")) < 1e-9
+    return out.groupBy("model", STATION, "side").agg(F.count(F.lit(1)).alias("n"), F.count_if(equal).alias("n_equal"))
+
+
 # least squares with an intercept: on the training rows the residuals have mean zero and
 # are uncorrelated with every feature
 @query("m10_linear_regression", sql(f"""

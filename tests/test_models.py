@@ -163,3 +163,44 @@ def test_sizes_can_be_shared(panel):
     out = scoring.naive_forecasts(fill.impute_target(panel, sizes=sizes), sizes=sizes)
     plain = scoring.naive_forecasts(fill.impute_target(panel))
     assert out.select(*plain.columns).exceptAll(plain).count() == 0
+
+
+def test_a_crash_leaves_the_old_version(spark, trained, monkeypatch):
+    from stationcast.sources import artifacts
+
+    path = scratch_path(spark, "versions")
+    with pytest.raises(FileNotFoundError):
+        load_artifacts(spark, path)
+    model, other = trained.models["LinearRegression"], trained.models["RandomForest"]
+    first = artifacts.save_artifacts(spark, path, model, {"model_name": "old", "feature_columns": ["a"]})
+
+    def stopped(*_):
+        raise RuntimeError("stopped between the two writes")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(artifacts, "metadata_table", stopped)
+        with pytest.raises(RuntimeError):
+            artifacts.save_artifacts(spark, path, other, {"model_name": "new"})
+    assert len(artifacts._begun(spark, path)) == 2 and artifacts.versions(spark, path) == [first]
+    loaded = load_artifacts(spark, path)
+    assert loaded.metadata["model_name"] == "old" and type(loaded.model.stages[-1]).__name__ == "LeastSquaresModel"
+    third = artifacts.save_artifacts(spark, path, other, {"model_name": "new"})
+    assert load_artifacts(spark, path).version == third and load_artifacts(spark, path, first).metadata["model_name"] == "old"
+    artifacts.prune(spark, path, keep=1)
+    assert artifacts._begun(spark, path) == [third]
+    assert load_artifacts(spark, path).metadata["model_name"] == "new"
+
+
+@pytest.mark.parametrize("name", ["RandomForest", "GradientBoosting"])
+def test_tables_of_nodes(spark, trained, name):
+    from stationcast.plans import trees
+
+    nodes = trees.node_table(spark, trained.models[name], trained.prepared.columns)
+    assert nodes.filter("feature is null and left is not null").count() == 0
+    scored = trees.score(trained.prepared.rows, nodes).withColumnRenamed("prediction", "from_table")
+    both = trained.predictions.filter(F.col("model") == name).join(scored, ["station", "obs_date"])
+    assert both.count() == trained.prepared.rows.count()
+    assert both.filter("abs(prediction - from_table) > 1e-9").count() == 0
+    assert trees.importance(nodes).agg(F.sum("splits")).first()[0] == nodes.filter("left is not null").count()
+    with pytest.raises(ValueError):
+        trees.node_table(spark, trained.models["LinearRegression"], trained.prepared.columns)
