@@ -118,3 +118,20 @@ def landed_messages(spark: SparkSession, sf: str, files: int = 2) -> str:
 def live(spark: SparkSession, sf: str) -> DataFrame:
     return feed.read_live(spark, landed_messages(spark, sf))
 
+
+def landed_in_order(df: DataFrame, column: str, parts: int, kind: str = "parquet", again: int = 0) -> str:
+    """``df`` as files that arrive one after the other, by ``column``; the first ``again`` arrive a second time."""
+    path = scratch_path(df.sparkSession, "arriving")
+    dated = df.select("*", F.col(column).cast("date").alias("_day"))
+    first, last = dated.agg(F.min("_day"), F.max("_day")).first()
+    width = ((last - first).days + parts) // parts
+    part = F.floor(F.date_diff("_day", F.lit(first)) / width)
+    for i in [*range(parts), *range(again)]:
+        own = dated.filter(part == i).drop("_day").coalesce(1)
+        (own.select("value").write.mode("append").text(path) if kind == "text" else own.write.mode("append").parquet(path))
+    return path
+
+
+def daily_feed(spark: SparkSession, sf: str) -> str:
+    """Live messages in four files by time, and the first of them once more."""
+    return landed_in_order(derived.live_messages(spark, sf), "ts", 4, "text", again=1)

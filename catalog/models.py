@@ -18,7 +18,7 @@ from stationcast.schema import (
 )
 from stationcast.session import scratch_path
 from stationcast.sources.artifacts import load_artifacts, metadata_table
-from stationcast.streaming import live
+from stationcast.streaming import daily, history, live
 
 from . import base, ctes
 from .cleaning import STDS
@@ -414,6 +414,27 @@ def t1(spark, sf):
     return spark.read.parquet(target)
 
 
+# a day is given out when the newest reading is two days past its end
+@query("t1_daily_averages", sql(f"""
+select arrival_date, count(*) as n, {', '.join(f'round(avg({c}), 9) as {c}' for c in CONTEXT_POLLUTANTS)}
+from live where arrival_date + 3 <= (select max(arrival_date) from live) group by arrival_date""", "live"))
+def t1_daily(spark, sf):
+    """Daily means from a stream of files with repeated readings."""
+    target = scratch_path(spark, "daily")
+    daily.ingest_daily(spark, base.daily_feed(spark, sf), target, scratch_path(spark, "progress"), files_per_batch=1).awaitTermination()
+    return rounded(spark.read.parquet(target), *CONTEXT_POLLUTANTS, places=9)
+
+
+@query("t2_stream_features", sql("select * from feat", "feat"))
+def t2_features(spark, sf):
+    """The feature chain over days that arrive in four micro-batches."""
+    days = base.panel(spark, sf)
+    target, state, progress = (scratch_path(spark, n) for n in ("streamed", "state", "progress"))
+    landing = base.landed_in_order(days, DATE, 4)
+    history.stream_features(spark, landing, days.schema, target, state, progress, files_per_batch=1, **base.UNIQUE).awaitTermination()
+    return rounded(history.read_streamed(spark, target), *STDS)
+
+
 LIVE = f"select *, {ctes.LINEAR} as prediction from (select *, {CALENDAR.replace('obs_date', 'arrival_date')} from live)"
 
 
