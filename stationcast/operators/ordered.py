@@ -202,23 +202,23 @@ class Part:
         return self.over(df)
 
     def _halo(self, depth: int, inputs: Sequence[str]) -> DataFrame:
+        """The last ``depth`` rows before each segment, whichever segments they are in."""
         needed = list(dict.fromkeys([*self.order, SEQUENCE, *inputs]))
         latest = Window.partitionBy(*self.keys, SEGMENT).orderBy(F.desc(SEQUENCE))
         tails = (
             self.df.select(*self.keys, SEGMENT, *needed)
             .withColumn("_back", F.row_number().over(latest))
             .filter(F.col("_back") <= depth)
-            .groupBy(*self.keys, SEGMENT)
-            .agg(F.sort_array(F.collect_list(F.struct(SEQUENCE, F.struct(*needed).alias("row")))).alias("_tail"))
         )
-        # every segment has a row, so ``depth`` segments back are always enough, and
-        # of their rows the last ``depth``
-        before = F.flatten(F.collect_list("_tail").over(self._across(-depth, -1)))
-        before = F.slice(before, F.greatest(F.size(before) - depth + 1, F.lit(1)), depth)
+        # of the tails of a series, in order, the ``depth`` rows before a segment's first one
+        series = Window.partitionBy(*self.keys).orderBy(SEGMENT, SEQUENCE)
+        before = F.collect_list(F.struct(*needed)).over(series.rowsBetween(-depth, -1))
+        begins = ~F.col(SEGMENT).eqNullSafe(F.lag(SEGMENT).over(series))
         return (
-            tails.select(*self.keys, SEGMENT, before.alias("_before"))
+            tails.select(*self.keys, SEGMENT, before.alias("_before"), begins.alias("_begins"))
+            .filter("_begins")
             .select(*self.keys, SEGMENT, F.explode("_before").alias("_kept"))
-            .select(*self.keys, SEGMENT, "_kept.row.*")
+            .select(*self.keys, SEGMENT, "_kept.*")
             .withColumn(HALO, F.lit(True))
         )
 
@@ -311,8 +311,6 @@ def measure(df: DataFrame, keys: Sequence[str] = (STATION,), max_rows: int = MAX
     """
     keyed = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys], F.lit(True))
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    if keys:
-        counts = durable(counts, "sizes")
     above = F.col("_rows") > max_rows
     total, largest, n_big, big_rows, loose = counts.agg(
         F.coalesce(F.sum("_rows"), F.lit(0)),
@@ -321,7 +319,7 @@ def measure(df: DataFrame, keys: Sequence[str] = (STATION,), max_rows: int = MAX
         F.coalesce(F.sum(F.when(above & keyed, F.col("_rows"))), F.lit(0)),
         F.count_if(above & ~keyed) > 0,
     ).first()
-    big = counts.filter(above & keyed).select(*keys) if keys and n_big else None
+    big = durable(counts.filter(above & keyed).select(*keys), "big") if keys and n_big else None
     return Sizes(total, largest, max_rows, big, n_big, big_rows, loose)
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import csv
 import io
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,20 +15,38 @@ from pyspark.sql import types as T
 from ..schema import DATE, RAW_SCHEMA, STATION
 
 
+#: Files whose header line is read at a time.
+READERS = 16
+
+
+def _first_line(spark: SparkSession, file: str) -> tuple[str, str]:
+    """Path and first line of a file (a URI), plain or compressed; nothing beyond one buffer is read."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+    stream = path.getFileSystem(conf).open(path)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+        plain = stream if codec is None else codec.createInputStream(stream)
+        return path.toString(), jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(plain, "UTF-8")).readLine() or ""
+    finally:
+        stream.close()
+
+
 def _headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
     """The files below ``path`` by their header line.
 
-    One line of each file is read. Files that begin with a line of the same text share
-    an entry, so what reaches the driver is a path per file.
+    One buffer of each file is read, however long the file, by some threads of the driver:
+    its length grows with the number of files alone, as does the list of files that
+    Spark itself keeps. Empty files have no header and are left out.
     """
-    lines = spark.read.text(path, wholetext=False).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value",
-        F.monotonically_increasing_id().alias("n"),
-    )
-    first = lines.filter(F.col("at") == 0).groupBy("file").agg(F.min_by("value", "n").alias("line"))
+    files = sorted(spark.read.text(path).inputFiles())
+    with ThreadPoolExecutor(READERS) as pool:
+        lines = list(pool.map(inheritable_thread_target(spark)(lambda file: _first_line(spark, file)), files))
     found: dict[tuple[str, ...], list[str]] = {}
-    for row in first.orderBy("file").collect():
-        found.setdefault(tuple(next(csv.reader(io.StringIO(row.line)))), []).append(row.file)
+    for file, line in lines:
+        if line:
+            found.setdefault(tuple(next(csv.reader(io.StringIO(line)))), []).append(file)
     return found
 
 

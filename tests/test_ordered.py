@@ -182,3 +182,16 @@ def test_quantiles_between_approximate_ones(spark):
     want = df.toPandas()[["x", "y"]].quantile(0.25)
     got = quantiles.exact_quantiles(df, ["x", "y"], [0.25], bracket_rows=8_000).toPandas().set_index("column").value
     assert got.round(9).to_dict() == want.round(9).to_dict()
+
+
+def test_long_lags_across_short_segments(spark, days):
+    """365 rows back over segments of 7 rows, with no more rows in an array than lags need."""
+    rows = [("a", i, float(i)) for i in range(900)] + [("b", i, float(-i)) for i in range(200)]
+    df = days(rows)
+    long = features.add_lags(df, lags=(1, 365), max_rows=7)
+    plain = features.add_lags(df, lags=(1, 365))
+    assert long.exceptAll(plain).count() == 0 and long.count() == plain.count()
+    assert long.filter("pm25_lag_365 is not null").count() == 900 - 365
+    part = next(p for p in arrange(df, max_rows=7).parts if p.segmented)
+    halo = part._halo(365, ["pm25"])
+    assert halo.groupBy("station", "_segment").count().agg(F.max("count")).first()[0] == 365

@@ -96,3 +96,23 @@ def test_station_index_and_split_by_date(spark, panel):
     assert sides[True].b <= sides[False].a
     one, _ = training.training_rows(rows, columns=["station_index"], best_station=True)
     assert one.select("station").distinct().count() == 1
+
+
+def test_header_pass_reads_one_buffer_of_each_file(spark, tmp_path):
+    import gzip
+
+    from stationcast.sources import readings
+
+    lines = "\n".join(f"{i},{i}" for i in range(400_000))
+    (tmp_path / "a b%.csv").write_text("x,y\n" + lines)
+    (tmp_path / "c.csv.gz").write_bytes(gzip.compress(b"y,z\n1,2\n"))
+    (tmp_path / "empty.csv").write_text("")
+    read = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.getGlobalStorageStatistics
+    count = lambda: read().get("file").getLong("bytesRead") or 0
+    before = count()
+    found = readings._headers(spark, str(tmp_path))
+    assert 0 < count() - before < 200_000
+    assert sorted(found) == [("x", "y"), ("y", "z")]
+    out = readings.read_readings(spark, str(tmp_path))
+    assert set(out.columns) == {"x", "y", "z"} and out.count() == 400_001
+    assert out.filter("z = '2' and y = '1' and x is null").count() == 1
