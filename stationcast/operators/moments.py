@@ -225,3 +225,66 @@ def merged(rows: Sequence) -> tuple[float, np.ndarray, np.ndarray]:
     n, mean, co = (np.array([r[c] for r in rows], float) for c in ("n", "means", "co"))
     one = combine(pa.table({"all": pa.array([0] * len(rows))}), n, mean, co)
     return float(one.n[0]), one.mean[0], one.co[0]
+
+
+#: Tasks that add up the matrices of all others, before one adds up theirs.
+ADDERS = 32
+#: A spread below this share of the values is rounding.
+ROUNDING = 1e-13
+
+
+def pair_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column_a``, ``column_b``, ``n`` and ``correlation`` of all pairs, over rows where both are known.
+
+    For columns X (0 where unknown) and their masks K, the sums of every pair are the
+    products K'K, X'K, (X*X)'K and X'X: one array for each task and a plan of constant
+    size, however many columns there are. The least value of a column is taken off first,
+    so that large means cost no digits. NaN counts as unknown; a column that is constant
+    over the rows of a pair has no correlation with the other.
+    """
+    ship(df.sparkSession)
+    columns = list(columns)
+    size = len(columns)
+    value = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns]
+    base = df.agg(*[F.min(v).alias(f"m{i}") for i, v in enumerate(value)]).first()
+    shift = np.array([0.0 if m is None else m for m in base])
+    rows = df.select(F.array(*value).alias("values"))
+    schema = T.StructType([T.StructField("sums", T.ArrayType(T.DoubleType()))])
+
+    def one(total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["sums"])
+
+    def by_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, size, size))
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, size) - shift
+            known = ~np.isnan(x)
+            x, known = np.where(known, x, 0.0), known.astype(float)
+            total += np.stack([known.T @ known, x.T @ known, (x * x).T @ known, x.T @ x])
+        if total.any():
+            yield one(total)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(4 * size * size)
+        for batch in batches:
+            total += batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1).sum(axis=0)
+        yield one(total)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = next(add(batches)).column(0).flatten().to_numpy().reshape(4, size, size)
+        n, sums, squares, products = total
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mean, other = sums / n, (sums / n).T
+            spread = squares / n - mean**2
+            rounding = (ROUNDING * np.maximum(np.abs(mean + shift[:, None]), np.abs(mean))) ** 2 + ROUNDING * squares / n
+            spread = np.where(spread > rounding, spread, np.nan)
+            found = (products / n - mean * other) / np.sqrt(spread * spread.T)
+        found = np.clip(found, -1.0, 1.0)
+        found[np.arange(size), np.arange(size)] = np.where(np.isnan(spread.diagonal()), np.nan, 1.0)
+        a, b = np.indices((size, size)).reshape(2, -1)
+        names = pa.array(columns)
+        lists = [names.take(pa.array(a)), names.take(pa.array(b)), pa.array(n.ravel().astype(np.int64)), pa.array(found.ravel(), from_pandas=True)]
+        yield pa.RecordBatch.from_arrays(lists, ["column_a", "column_b", "n", "correlation"])
+
+    partial = rows.mapInArrow(by_task, schema).repartition(ADDERS).mapInArrow(add, schema)
+    return partial.repartition(1).mapInArrow(finish, "column_a string, column_b string, n long, correlation double")

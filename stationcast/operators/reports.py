@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..schema import DATE, NULL_TOKENS, STATION, TARGET
 from .features import latest_rows
+from .moments import pair_correlations
 from .ordered import MAX_ROWS, attach
 from .quantiles import exact_quantiles
 
@@ -226,35 +227,10 @@ def outliers(df: DataFrame, column: str = TARGET, by: Sequence[str] = ("is_train
 def correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of each pair, over rows where both are known.
 
-    One aggregate; ``column_a``, ``column_b``, ``correlation``, both triangles
-    and the diagonal. A constant column has no correlation.
+    ``column_a``, ``column_b``, ``correlation``, both triangles and the diagonal. A constant
+    column has no correlation. Works for hundreds of columns.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-
-    def corr(a: str, b: str) -> Column:
-        x, y = F.col(a).cast("double"), F.col(b).cast("double")
-        known = x.isNotNull() & y.isNotNull()
-        varies = (F.min(F.when(known, x)) < F.max(F.when(known, x))) & (
-            F.min(F.when(known, y)) < F.max(F.when(known, y))
-        )
-        if a == b:
-            return F.when(varies, F.lit(1.0))
-        # the built-in corr divides by zero for a constant column in ANSI mode
-        spread = F.stddev_pop(F.when(known, x)) * F.stddev_pop(F.when(known, y))
-        return F.when(varies, F.try_divide(F.covar_pop(x, y), spread))
-
-    one = df.agg(*[corr(a, b).alias(f"_c{i}") for i, (a, b) in enumerate(pairs)])
-    rows = []
-    for i, (a, b) in enumerate(pairs):
-        for left, right in {(a, b), (b, a)}:
-            rows.append(
-                F.struct(
-                    F.lit(left).alias("column_a"),
-                    F.lit(right).alias("column_b"),
-                    F.col(f"_c{i}").alias("correlation"),
-                )
-            )
-    return one.select(F.inline(F.array(*rows)))
+    return pair_correlations(df, columns).drop("n")
 
 
 def duplicate_dates(df: DataFrame, by: Sequence[str] = (STATION, DATE)) -> DataFrame:

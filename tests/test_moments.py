@@ -112,3 +112,26 @@ def test_saved_rule(spark, points):
     fitted.write().save(path)
     again = ls.LeastSquaresModel.load(path)
     assert again.coefficients == fitted.coefficients and again.intercept == fitted.intercept and again.rank == fitted.rank
+
+
+def test_correlations_of_many_columns(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(500, 200)) + rng.normal(size=(500, 1)) + 1e6
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 5], x[:, 6] = 3.3, np.nan
+    x[:250, 7], x[250:, 7] = np.nan, 1.1
+    frame = pd.DataFrame(x, columns=[f"c{i}" for i in range(200)])
+    df = spark.createDataFrame(frame).repartition(5)
+    found = m.pair_correlations(df, frame.columns).toPandas()
+    assert len(found) == 200 * 200
+    wide = found.pivot(index="column_a", columns="column_b", values="correlation").loc[frame.columns, frame.columns].to_numpy()
+    counts = found.pivot(index="column_a", columns="column_b", values="n").loc[frame.columns, frame.columns].to_numpy()
+    expected = frame.corr(min_periods=1).to_numpy()
+    expected[[5, 6, 7]] = expected[:, [5, 6, 7]] = np.nan
+    known = (~np.isnan(x)).astype(int)
+    assert np.array_equal(counts, known.T @ known)
+    assert np.allclose(wide, expected, atol=1e-8, equal_nan=True)
+    empty = m.pair_correlations(df.limit(0), ["c0", "c1"]).collect()
+    assert len(empty) == 4 and all(r.correlation is None and r.n == 0 for r in empty)
