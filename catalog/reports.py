@@ -563,10 +563,7 @@ DENSITY = _histogram("abs_error", "(select model, round(abs(label - prediction),
 
 @query("r4_error_density", sql(f"select h.*, round(mean_error, 6) as mean_error from ({DENSITY}) h join (select model, avg(round(abs(label - prediction), 6)) as mean_error from pred group by 1) e using (model)", "pred"))
 def r4(spark, sf):
-    rows = base.predictions(spark, sf)
-    # errors rounded first, so that the bin of a value at an edge is the same on any engine
-    exact = rows.withColumns({"prediction": F.round(F.abs(F.col("label") - F.col("prediction")), 6), "label": F.lit(0.0)})
-    return rounded(charts.error_density(exact), *BIN, "mean_error")
+    return rounded(charts.error_density(base.predictions(spark, sf), places=6), *BIN, "mean_error")
 
 
 @query("r5_bias_bars", sql(f"""
@@ -648,3 +645,90 @@ def r12(spark, sf):
     for table in counted[1:]:
         out = out.unionByName(table)
     return out
+
+
+FIGURE = f"""
+select side || '_lines' as panel, model, side, s as series, station || ' ' || cast(obs_date as varchar) as item, cast(null as double) as x, case s when 'label' then label else prediction end as y
+from pred, (select unnest(['label', 'prediction']) as s)
+union all select 'actual_predicted', model, side, 'points', null, label, prediction from pred
+union all select 'predicted_residual', model, side, 'points', null, prediction, label - prediction from pred
+union all select 'error_density', h.model, null, s, null, h.low, case s when 'density' then density else e.mean_error end
+  from ({DENSITY}) h join (select model, avg(round(abs(label - prediction), 6)) as mean_error from pred group by 1) e using (model), (select unnest(['density', 'mean_error']) as s)
+union all select 'month_bias', m.model, null, 'bars', cast(i as varchar), null, coalesce(bias, 0.0)
+  from (select distinct model from pred) m cross join range(1, 13) t(i) left join ({MONTHLY.replace('from test', 'from pred')}) b on b.model = m.model and b.month = i
+union all select 'level_mae', model, null, 'bars', level, null, mae from ({LEVELS.replace('from test', 'from pred')})
+union all {" union all ".join(f"select 'metric_bars', model, '{s}', 'bars', '{m}', null, {s}_{m} from cmp" for m in ("mae", "rmse", "r2") for s in ("train", "test"))}
+union all select 'sorted_band', model, 'test', s, null, cast(row_number() over (partition by model, s order by label, obs_date, station) as double),
+  case s when 'label' then label when 'prediction' then prediction when 'lower' then prediction - residual_std else prediction + residual_std end
+  from test join spread using (model), (select unnest(['label', 'prediction', 'lower', 'upper']) as s)"""
+
+
+@query("r12_figure_rows", sql(f"select panel, model, side, series, item, round(x, 6) as x, round(y, 6) as y from ({FIGURE})", "pred", "test", "cmp", "spread"))
+def r12_rows(spark, sf):
+    """All nine panels of the model figure, as rows."""
+    panels = charts.model_figure(base.predictions(spark, sf), selection.metric_bars(base.comparison(spark, sf)))
+    panels["sorted_band"] = charts.test_band(base.predictions(spark, sf), tiebreak=(DATE, STATION))
+    panels["error_density"] = charts.error_density(base.predictions(spark, sf), places=6)
+    return rounded(charts.figure_rows(panels), "x", "y")
+
+
+@query("u1_chart_rows", sql(CHART, "recent", "scored"))
+def u1_rows(spark, sf):
+    """The union itself: the rows of all four series."""
+    return rounded(_chart(spark, sf), "y")
+
+
+@query("r7_band_rows", sql("""
+select model, row_number() over (partition by model order by label, obs_date, station) as sample, label, round(prediction, 6) as prediction,
+  round(prediction - residual_std, 6) as lower, round(prediction + residual_std, 6) as upper from test join spread using (model)""", "test", "spread"))
+def r7_rows(spark, sf):
+    band = charts.test_band(base.predictions(spark, sf), tiebreak=(DATE, STATION))
+    return rounded(band.select("model", "sample", "label", "prediction", "lower", "upper"), "prediction", "lower", "upper")
+
+
+CELL_ENDS = ", ".join(
+    f"case when min({c}) = max({c}) then min({c}) - 0.5 else min({c}) end as {c}_lo, case when min({c}) = max({c}) then max({c}) + 0.5 else max({c}) end as {c}_hi" for c in "xy"
+)
+
+
+SCATTER = """(select model, side, 'actual_predicted' as panel, label as x, round(prediction, 6) as y from pred
+union all select model, side, 'predicted_residual', round(prediction, 6), round(label - prediction, 6) from pred)"""
+AT = {c: f"cast(least(floor(({c} - {c}_lo) / (({c}_hi - {c}_lo) / 64)), 63) as int)" for c in "xy"}
+EDGES = ", ".join(
+    f"round(min({c}_lo + ({c}_hi - {c}_lo) / 64 * {at}), 6) as {c}_low, round(min({c}_lo + ({c}_hi - {c}_lo) / 64 * ({at} + 1)), 6) as {c}_high"
+    for c, at in (("x", "at_x"), ("y", "at_y"))
+)
+
+
+@query("r3_scatter_cells", sql(f"""
+select model, side, panel, at_x as "column", at_y as "row", count(*) as n, {EDGES}
+from (select *, {AT['x']} as at_x, {AT['y']} as at_y
+  from {SCATTER} join (select model, side, panel, {CELL_ENDS} from {SCATTER} group by all) using (model, side, panel))
+group by model, side, panel, at_x, at_y""", "pred"))
+def r3_cells(spark, sf):
+    """Both scatters as counts of cells."""
+    points = rounded(charts.scatter(base.predictions(spark, sf)), "x", "y")
+    return rounded(charts.scatter_cells(points), "x_low", "x_high", "y_low", "y_high")
+
+
+@query("r10_line_extremes", sql("""
+select distinct station, r.obs_date, r.pm25, r.position, r.size from (
+  select station, unnest([arg_min(r, (pm25, position)), arg_min(r, (-pm25, position))]) as r from (
+    select *, {'obs_date': obs_date, 'pm25': pm25, 'position': position, 'size': size} as r, floor((position - 1) * 120 / greatest(size, 120)) as bin
+    from (select station, obs_date, pm25, row_number() over (partition by station order by obs_date) as position, count(*) over (partition by station) as size from feat))
+  group by station, bin)""", "feat"))
+def r10_extremes(spark, sf):
+    """The lowest and highest reading of each of 120 stretches of a station's line."""
+    return charts.line_extremes(base.feature_rows(spark, sf), 120, **base.UNIQUE)
+
+
+@query("r10_thin_line", sql("""
+select station, min(obs_date) as first_date, max(obs_date) as last_date, min(pm25) as lowest, max(pm25) as highest, true as bounded
+from feat group by station""", "feat"))
+def r10_thin(spark, sf):
+    """Lines of 60 points at most keep their ends and extremes."""
+    line = charts.thin_line(base.feature_rows(spark, sf), 60, **base.UNIQUE)
+    return line.groupBy(STATION).agg(
+        F.min(DATE).alias("first_date"), F.max(DATE).alias("last_date"), F.min(TARGET).alias("lowest"), F.max(TARGET).alias("highest"),
+        (F.count(F.lit(1)) <= 60).alias("bounded"),
+    )
