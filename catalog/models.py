@@ -281,6 +281,135 @@ def m13_station_folds(spark, sf):
     return found.folds.join(sizes, [STATION, "fold"]).select(STATION, "fold", "n_test", F.round("fold_mae", 6).alias("fold_mae"))
 
 
+#: Least squares on one feature, so that SQL can follow the trained model to its last result.
+RULE = f"""(select *, (select stddev_pop(a + b * x - y) from {SPLIT_ONE} where side = 'test') as std, (select median(no2) from {TRAINED} where side = 'train') as filled
+from (select regr_intercept(y, x) as a, regr_slope(y, x) as b from {SPLIT_ONE} where side = 'train'))"""
+
+
+def _one_feature(spark, sf, path=None):
+    trained = training.train_all(
+        base.feature_rows(spark, sf), {"LinearRegression": training.linear_regression}, columns=["no2"], **base.UNIQUE
+    )
+    if path is None:
+        return trained
+    training.choose_and_save(spark, trained, path)
+    return load_artifacts(spark, path)
+
+
+def _one_predictor(spark, sf):
+    loaded = _one_feature(spark, sf, scratch_path(spark, "artifacts"))
+    return loaded, scoring.model_predictor(loaded.model, loaded.feature_columns)
+
+
+FITTED = f"(select t.*, a + b * x as p from {SPLIT_ONE} t, {RULE})"
+
+
+@query("m12_comparison_values", sql(f"""
+select 'LinearRegression' as model, {", ".join(
+    f"max(case when side = '{side}' then round({m}, 6) end) as {side}_{m}" for m in ('mae', 'rmse', 'r2', 'mape') for side in ('train', 'test'))},
+  (select round(avg(fold_mae), 6) from folds) as cv_mae, (select round(stddev_pop(fold_mae), 6) from folds) as cv_std
+from (select side, avg(abs(y - p)) as mae, sqrt(avg((y - p) * (y - p))) as rmse, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) as r2,
+  100 * avg(abs(y - p) / greatest(abs(y), 2.220446049250313e-16)) as mape from {FITTED} group by side), (
+  select 1) one(i)""", "feat").replace("from folds", f"""from (select t.block, avg(abs(t.y - (f.a + f.b * t.x))) as fold_mae from {ONE_FEATURE} t join (
+  select fold, regr_slope(y, x) as b, regr_intercept(y, x) as a from {ONE_FEATURE}, (select unnest([1, 2, 3, 4, 5]) as fold) where block < fold group by fold
+  ) f on t.block = f.fold group by t.block)"""))
+def m12_comparison(spark, sf):
+    """All figures of a training run with folds, value by value."""
+    table = _one_feature(spark, sf).comparison.drop("rank")
+    return rounded(table, *[c for c in table.columns if c != "model"])
+
+
+@query("m18_batch_values", sql(f"""
+select station, obs_date, round(a + b * coalesce(no2, filled), 6) as prediction, round(a + b * coalesce(no2, filled) - std, 6) as lower,
+  round(a + b * coalesce(no2, filled) + std, 6) as upper from feat, {RULE}""", "feat"))
+def m18_values(spark, sf):
+    """Raw readings scored by a saved and loaded model, with bounds."""
+    loaded = _one_feature(spark, sf, scratch_path(spark, "artifacts"))
+    raw = base.raw(spark, sf)
+    return rounded(scoring.batch_predict(raw, PanelFeatures().fit(raw), loaded), "prediction", "lower", "upper")
+
+
+AHEAD = f"(select s.*, a + b * coalesce(no2, filled) as p, std from scored s, {RULE})"
+
+
+@query("m20_forecast_values", sql(f"""
+select station, cast(horizon as int) as horizon, obs_date as target_date, round(p, 6) as value, round(p - std, 6) as lower, round(p + std, 6) as upper,
+  {ctes.category('p')} as category, case when horizon = 1 then {ctes.risk('p')} end as level from {AHEAD} where scenario = 'normal'""", "scored", "feat"))
+def m20_values(spark, sf):
+    """Forecasts of a trained model, value by value."""
+    loaded, predict = _one_predictor(spark, sf)
+    out = scoring.forecast(base.filled(spark, sf), predict, loaded.residual_std)
+    picked = out.select(STATION, F.col("horizon").cast("int").alias("horizon"), "target_date", "value", "lower", "upper", "category", "level")
+    return rounded(picked, "value", "lower", "upper")
+
+
+@query("m21_scenario_values", sql(f"""
+select s.station, cast(s.horizon as int) as horizon, s.scenario, round(n.p, 6) as baseline, round(s.p, 6) as simulated, round(s.p - n.p, 6) as delta
+from {AHEAD} s join {AHEAD} n on n.station = s.station and n.horizon = s.horizon and n.scenario = 'normal'""", "scored", "feat"))
+def m21_values(spark, sf):
+    """Simulations of a trained model, value by value."""
+    _, predict = _one_predictor(spark, sf)
+    out = scoring.simulate(base.filled(spark, sf), predict)
+    picked = out.select(STATION, F.col("horizon").cast("int").alias("horizon"), "scenario", "baseline", "simulated", "delta")
+    return rounded(picked, "baseline", "simulated", "delta")
+
+
+@query("m23_recent_values", sql(f"""
+select station, obs_date, pm25 as label, round(p, 6) as prediction, round(p - std, 6) as lower, round(p + std, 6) as upper, round(pm25 - p, 6) as residual
+from (select r.*, a + b * coalesce(no2, filled) as p, std from recent r, {RULE} where back <= 50)""", "recent", "feat"))
+def m23_values(spark, sf):
+    """The last rows scored by a trained model, value by value."""
+    loaded, predict = _one_predictor(spark, sf)
+    out = scoring.score_recent(base.filled(spark, sf), predict, loaded.residual_std)
+    return rounded(out, "prediction", "lower", "upper", "residual")
+
+
+#: Ensembles small enough to train with all folds in a query.
+SMALL = {"RandomForest": {"numTrees": 8, "maxDepth": 4}, "GradientBoosting": {"maxIter": 5, "maxDepth": 3}, "LinearRegression": {}}
+
+
+def _small_run(spark, sf):
+    configured = training.model_configurations()
+    models = {n: (lambda make=configured[n], c=c: make(**c)) for n, c in SMALL.items()}
+    return training.train_all(_rows(spark, sf), models, columns=SERVING_FEATURES, **base.UNIQUE)
+
+
+@query("m13_full_comparison")
+def m13_comparison(spark, sf):
+    """Figures of three models with all folds, their status, splits by feature of the ensembles, and which one is chosen."""
+    trained = _small_run(spark, sf)
+    best = training.choose_and_save(spark, trained)
+    status = F.create_map(*[F.lit(x) for pair in trained.status.items() for x in pair])
+    return trained.comparison.withColumns({"status": status[F.col("model")], "chosen": F.col("model") == F.lit(best["model_name"] if best else None)})
+
+
+@query("m13_chosen_model", sql(f"""
+select m.model, cast(5 as bigint) as n_folds, (select count(*) from {TRAINED} where side = 'test') as n_test, true as same_error, true as least_if_chosen
+from (select unnest(['RandomForest', 'GradientBoosting', 'LinearRegression']) as model) m""", "feat"))
+def m13_chosen(spark, sf):
+    """Three models with folds: errors recomputed from the written predictions, and the choice against the least of them."""
+    trained = _small_run(spark, sf)
+    best = training.choose_and_save(spark, trained)["model_name"]
+    test = trained.predictions.filter("side = 'test'").groupBy("model").agg(
+        F.count(F.lit(1)).alias("n_test"), F.avg(F.abs(F.col("label") - F.col("prediction"))).alias("mae")
+    )
+    folds = trained.folds.groupBy("model").agg(F.count(F.lit(1)).alias("n_folds"))
+    accepted = trained.accepted().select("model")
+    least = test.join(accepted, "model", "left_semi").agg(F.min("mae")).scalar()
+    table = trained.comparison.select("model", "test_mae").join(test, "model").join(folds, "model")
+    return table.select(
+        "model", "n_folds", "n_test", (F.abs(F.col("mae") - F.col("test_mae")) < 1e-9).alias("same_error"),
+        ((F.col("model") != best) | (F.col("mae") <= least + 1e-9)).alias("least_if_chosen"),
+    )
+
+
+@query("m8_m9_predictions")
+def m8_m9_predictions(spark, sf):
+    """Every prediction of a forest and of boosted trees."""
+    trained = _train(spark, sf, "RandomForest", "GradientBoosting", folds=False, maxDepth=5)
+    return trained.predictions.select("model", "side", STATION, DATE, "label", F.round("prediction", 6).alias("prediction"))
+
+
 CHAIN = "select *, cast(year(obs_date) * 100 + month(obs_date) as int) as periode_data, cast(month(obs_date) as int) as bulan from feat"
 
 
