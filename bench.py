@@ -23,7 +23,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from catalog import base  # noqa: E402
 from stationcast.operators import bias, cleaning, features, fill, metrics, quantiles, reports, split  # noqa: E402
-from stationcast.plans import scoring, training  # noqa: E402
+from stationcast.plans import charts, scoring, training  # noqa: E402
 from stationcast.schema import DATE, FILLED_POLLUTANTS, SERVING_FEATURES, STATION, TARGET  # noqa: E402
 from stationcast.session import local_session, release, scratch_path  # noqa: E402
 from stationcast.sources.readings import read_landed  # noqa: E402
@@ -96,6 +96,19 @@ def main() -> None:
         run(trained.comparison)
         trained.prepared.release()
 
+    def train_stations():
+        rows = read_landed(spark, feature_path)
+        found = training.train_stations(rows, columns=SERVING_FEATURES)
+        run(found.metrics)
+        run(found.folds)
+        found.prepared.release()
+
+    def correlations():
+        run(reports.correlation(clean(), FILLED_POLLUTANTS))
+
+    def thin_lines():
+        run(charts.thin_line(read_landed(spark, split_path).select(STATION, DATE, TARGET), 200))
+
     def train_forest():
         rows = read_landed(spark, feature_path)
         trained = training.train_all(rows, {"RandomForest": training.random_forest}, folds=False, columns=SERVING_FEATURES)
@@ -115,6 +128,9 @@ def main() -> None:
         "fill_segments": fill_segments,
         "medians": median_per_column,
         "box_summary": boxes,
+        "train_stations": train_stations,
+        "correlations": correlations,
+        "thin_lines": thin_lines,
         "train_forest": train_forest,
     }
     took = {}
