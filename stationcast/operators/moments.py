@@ -98,34 +98,28 @@ def moments(df: DataFrame, values: Column, by: Sequence[str] = ()) -> DataFrame:
     by = list(by)
     own = df.select(*by, values.cast("array<double>").alias("values"))
     known = own.filter(F.col("values").isNotNull() & ~F.exists("values", lambda v: v.isNull() | F.isnan(v)))
-    kinds = [df.schema[c] for c in by]
-    schema = T.StructType([*kinds, T.StructField("n", T.LongType()), *(T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("means", "co"))])
-
-    def made(found: Groups) -> pa.RecordBatch:
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64())) for x in (found.mean, found.co)]
-        columns = [*(c.combine_chunks() for c in found.keys.columns), pa.array(found.n.astype(np.int64)), *lists]
-        columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
-        return pa.RecordBatch.from_arrays(columns, [*by, "n", "means", "co"])
-
-    def read(batch: pa.RecordBatch) -> Groups:
-        keys = pa.Table.from_batches([batch]).select(by)
-        at = len(by)
-        if batch.num_columns == at + 1:
-            return combine(keys, np.ones(batch.num_rows), _square(batch.column(at), batch.num_rows))
-        return combine(keys, batch.column(at).to_numpy(), *(_square(batch.column(at + i), batch.num_rows) for i in (1, 2)))
 
     def by_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Groups] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(read(batch))
+            keys = pa.Table.from_batches([batch]).select(by)
+            held.append(combine(keys, np.ones(batch.num_rows), _square(batch.column(len(by)), batch.num_rows)))
             if sum(map(len, held)) > HELD or len(held) > 64:
                 held = [_joined(held)]
                 if len(held[0]) > HELD:
-                    yield made(held.pop())
+                    yield _made(held.pop(), by)
         if held:
-            yield made(_joined(held))
+            yield _made(_joined(held), by)
+
+    return add_up(known.mapInArrow(by_task, _schema(df, by)), by)
+
+
+def add_up(found: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Moments of larger groups from those of their parts: rows of :func:`moments` (``n``, ``means``, ``co``) by ``by``."""
+    ship(found.sparkSession)
+    by = list(by)
 
     def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by group; the last group of a batch may go on in the next."""
@@ -133,20 +127,35 @@ def moments(df: DataFrame, values: Column, by: Sequence[str] = ()) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            found = _joined([*last, read(batch)])
-            tail = int(_codes(pa.concat_tables([found.keys, pa.Table.from_batches([batch.slice(batch.num_rows - 1)]).select(by)]), len(found) + 1)[-1]) if by else 0
-            codes = _codes(found.keys, len(found)) if by else np.zeros(1, np.int64)
-            here = codes == tail
-            rest, ends = np.flatnonzero(~here), np.flatnonzero(here)
-            last = [_part(found, ends)]
-            if len(rest):
-                yield made(_part(found, rest))
+            keys, at = pa.Table.from_batches([batch]).select(by), len(by)
+            own = combine(keys, batch.column(at).to_numpy(), *(_square(batch.column(at + i), batch.num_rows) for i in (1, 2)))
+            whole = _joined([*last, own])
+            here = np.ones(1, bool)
+            if by:
+                tail = pa.Table.from_batches([batch.slice(batch.num_rows - 1)]).select(by)
+                code = _codes(pa.concat_tables([whole.keys, tail]), len(whole) + 1)
+                here = code[:-1] == code[-1]
+            last = [_part(whole, np.flatnonzero(here))]
+            if not here.all():
+                yield _made(_part(whole, np.flatnonzero(~here)), by)
         if last:
-            yield made(last[0])
+            yield _made(last[0], by)
+
+    narrow = found.select(*by, "n", "means", "co")
+    gathered = narrow.repartition(*by).sortWithinPartitions(*by) if by else narrow.repartition(1)
+    return gathered.mapInArrow(by_group, _schema(found, by))
+
+
+def _schema(df: DataFrame, by: Sequence[str]) -> T.StructType:
+    lists = [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("means", "co")]
+    return T.StructType([*(df.schema[c] for c in by), T.StructField("n", T.LongType()), *lists])
+
 
-    partial = known.mapInArrow(by_task, schema)
-    gathered = partial.repartition(*by).sortWithinPartitions(*by) if by else partial.repartition(1)
-    return gathered.mapInArrow(by_group, schema)
+def _made(found: Groups, by: Sequence[str]) -> pa.RecordBatch:
+    lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64())) for x in (found.mean, found.co)]
+    columns = [*(c.combine_chunks() for c in found.keys.columns), pa.array(found.n.astype(np.int64)), *lists]
+    columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
+    return pa.RecordBatch.from_arrays(columns, [*by, "n", "means", "co"])
 
 
 def _part(found: Groups, at: np.ndarray) -> Groups:

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..operators import moments as m
 from ..operators.metrics import mae
+from ..operators.ordered import MAX_PIECES
 from ..schema import STATION
 
 
@@ -122,10 +123,18 @@ def group_models(rows: DataFrame, by: Sequence[str] = (STATION,), features: str
     small systems are solved in Arrow batches. A group with constant features gets its mean;
     rows with a null key get no model.
     """
-    by = list(by)
-    rows = rows.dropna(subset=by)
+    return solve_groups(group_moments(rows, by, features, label), by)
+
+
+def group_moments(rows: DataFrame, by: Sequence[str] = (STATION,), features: str = "features", label: str = "label") -> DataFrame:
+    """Moments of features and label by group; rows without a station have none."""
     values = F.concat(as_array(rows, features), F.array(F.col(label).cast("double")))
-    found = m.moments(rows, values, by)
+    return m.moments(rows.dropna(subset=by[:1]), values, list(by))
+
+
+def solve_groups(found: DataFrame, by: Sequence[str] = (STATION,)) -> DataFrame:
+    """The model of each row of moments: ``by``, ``n``, ``weights``, ``intercept``, ``rank``."""
+    by = list(by)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,15 +146,21 @@ def group_models(rows: DataFrame, by: Sequence[str] = (STATION,), features: str
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(by) + 1], *new], [*by, "n", "weights", "intercept", "rank"])
 
-    schema = T.StructType([*(rows.schema[c] for c in by), T.StructField("n", T.LongType())])
+    schema = T.StructType([*(found.schema[c] for c in by), T.StructField("n", T.LongType())])
     schema.add("weights", T.ArrayType(T.DoubleType())).add("intercept", T.DoubleType()).add("rank", T.IntegerType())
-    return found.mapInArrow(solve, schema)
+    return found.select(*by, "n", "means", "co").mapInArrow(solve, schema)
 
 
 def score_groups(rows: DataFrame, models: DataFrame, by: Sequence[str] = (STATION,), features: str = "features") -> DataFrame:
-    """``rows`` with the ``prediction`` of their group's model; null for groups without one."""
+    """``rows`` with the ``prediction`` of their group's model; null for groups without one.
+
+    ``models`` (written) is counted; a few thousand models are broadcast, so that the rows of
+    a large group stay where they are.
+    """
     by = list(by)
     known = models.select(*by, "weights", "intercept")
+    if known.limit(MAX_PIECES + 1).count() <= MAX_PIECES:
+        known = F.broadcast(known)
     joined = rows.join(known, by, "left")
     products = F.zip_with(as_array(rows, features), F.col("weights"), lambda x, w: x * w)
     total = F.aggregate(products, F.col("intercept"), lambda a, v: a + v)

@@ -19,12 +19,13 @@ from ..functions import numbers
 from ..operators import metrics, selection
 from ..operators.bias import overall_bias
 from ..operators.features import feature_columns, leakage_free, select_station
+from ..operators.moments import add_up
 from ..operators.ordered import arrange, attach
 from ..operators.split import add_segments, add_split
 from ..schema import DATE, STATION, TARGET
 from ..session import durable, ensure_checkpoint_dir
 from ..sources.artifacts import save_artifacts
-from .least_squares import LeastSquares, group_models, score_groups
+from .least_squares import LeastSquares, group_moments, score_groups, solve_groups
 from .stages import MedianImputer
 
 SEED = 42
@@ -340,21 +341,22 @@ def train_stations(features: DataFrame, name: str = "LinearRegression", **option
     """A least-squares model of its own for every station, in one run over all of them.
 
     The rows are split, imputed and cut into folds as for one model of all stations (each
-    station at its own share). All models come from one shuffle of moments by station and
-    fold block; predictions, metrics and fold errors are tables by station. Stations whose
-    training side has no complete row have no model.
+    station at its own share). All models, those of the folds too, come from one scan that
+    adds up moments by station and fold block; predictions, metrics and fold errors are
+    tables by station. Stations whose training side has no complete row have no model.
     """
     prepared = prepare(features, **options)
     rows = prepared.rows.dropna(subset=[STATION])
     train = rows.filter("is_train")
-    models = durable(group_models(train, [STATION]), "models")
+    by_block = durable(group_moments(train, [STATION, "block", "fold_count"]), "moments")
+    models = durable(solve_groups(add_up(by_block, [STATION]), [STATION]), "models")
     predictions = score_groups(rows, models, [STATION]).select(
         F.lit(name).alias("model"), F.when(F.col("is_train"), "train").otherwise("test").alias("side"), STATION, DATE, "label", "block", "prediction"
     )
-    # fold k of a station learns from its blocks before k: rows of block b serve folds b + 1 and on
+    # fold k of a station learns from its blocks before k: the moments of block b serve folds b + 1 and on
     serves = F.explode(F.sequence(F.col("block") + 1, F.col("fold_count"))).alias("fold")
-    learned = train.filter(F.col("block") < F.col("fold_count")).select(STATION, serves, "label", "features")
-    fold_models = group_models(learned, [STATION, "fold"])
+    learned = by_block.filter(F.col("block") < F.col("fold_count")).select(STATION, serves, "n", "means", "co")
+    fold_models = durable(solve_groups(add_up(learned, [STATION, "fold"]), [STATION, "fold"]), "fold_models")
     tested = train.filter("block >= 1").select(STATION, F.col("block").alias("fold"), "label", "features")
     errors = score_groups(tested, fold_models, [STATION, "fold"]).groupBy(STATION, "fold")
     return StationModels(
