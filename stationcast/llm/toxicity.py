@@ -1,29 +1,36 @@
-"""Toxicity by compression distance between two zstandard dictionaries.
-
-Both dictionaries hold the same ordinary prose. The toxic one also holds the passages
-that toxic training texts use in far more contexts than ordinary ones; the ordinary one
-has blanks in their place. A window of text that uses such passages is shorter with the
-toxic dictionary, any other window is about as long with both. Matches below five bytes
-are not used, so that chance syllables don't count. The passages stand once before the
-prose and once after it, where they cost fewer bits to point to, which makes two pairs
-of dictionaries.
-
-A document's windows give the largest differences and how many windows exceed each
-difference; a logistic model fitted on training documents turns these into a score, so
-its threshold of 0.5 is calibrated on labels.
+"""Toxicity by compression distance between zstandard dictionaries trained on either class.
+
+Each of ``PAIRS`` pairs of dictionaries has a common base, trained on ordinary text, and a
+small part of its own: one trained on windows of toxic texts, one on as many windows of
+ordinary texts. The base serves ordinary prose on both sides alike, so the parts differ in
+what one class has and the other lacks. A window of text that is like toxic text is shorter
+with the toxic side; its gain is the difference of the two lengths, added up over the pairs,
+which have samples and lengths of segments of their own. Matches below six bytes are not
+used, so that chance syllables count little.
+
+Toxic texts are mostly ordinary prose, so the parts are trained again ``KEEP`` times, each time
+on the windows that gained most the time before: those above a quantile of the gains of
+ordinary windows, for both classes, so that ordinary windows that look toxic go to the
+ordinary side. Gains are always measured with dictionaries that have not seen the text (texts
+in ``FOLDS`` parts). The last such gains also train the logistic model that turns a document's
+largest gains, and how many windows exceed each threshold, into a score, so its threshold
+of 0.5 is calibrated on labels that its dictionaries have not seen.
 
 The fit uses at most ``TOXIC`` and ``ORDINARY`` labelled documents, those with the
-smallest hash of their id, of at most ``MOST_CHARS`` characters. All labels are counted by
-class, and the intercept is shifted from the odds of the sample to the odds of the labels, so
-that the threshold doesn't depend on the size of the table. Scores cover whole texts. Null and empty texts have no windows and get the score of that. Without training
-texts of both kinds every score is the share of toxic ones (0 without any). Equal texts
-get equal scores.
+smallest hash of their id, of at most ``MOST_CHARS`` characters; copies of a text train the
+dictionaries once. It doesn't depend on the order of rows. All labels are counted by class, and
+the intercept is shifted from the odds of the sample to the odds of the labels, so that the
+threshold doesn't depend on the size of the table. Scores cover whole texts. Null and empty
+texts have no windows and get the score of that; an empty table gives an empty result. Without
+training texts of both kinds every score is the share of toxic ones (0 without any). Null ids
+are kept and scored. Equal texts get equal scores.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import random
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,121 +39,110 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stationcast.llm.common import annotate, codes_of, id_crc, keep_rows, mix, split_words
+from stationcast.llm.common import annotate, id_crc, keep_rows
 
 TOXIC, ORDINARY, MOST_CHARS = 1500, 3000, 20_000
-PROSE_BYTES = 32_768
-PASSAGE_BYTES = 8_192
-WINDOW, STEP = 128, 64
-LEAST_MATCH = 5
-#: A passage has at least this many contexts in toxic texts and is this many times as frequent as in ordinary ones.
-CONTEXTS, TIMES = 8, 5
-PREFIXES = range(3, 13)
-EDGES = b".,;:!?()\"'"
+#: Bytes of a pair's common base and of the part that each side has of its own.
+BASE_BYTES, OWN_BYTES = 32_768, 3_072
+PAIRS, FOLDS = 4, 4
+#: Windows that dictionaries are trained on, and at most so many of a class for one dictionary.
+SAMPLE, SAMPLE_STEP, SAMPLES = 24, 12, 40_000
+#: Windows whose lengths are compared.
+WINDOW, STEP = 64, 32
+LEAST_MATCH = 6
+#: One pair counts for at most so many bytes of a window, so that one chance match doesn't decide.
+MOST_GAIN = 4
+#: Quantiles of the ordinary windows' gains above which windows train the next dictionaries.
+KEEP = (0.9, 0.97, 0.99)
+#: Quantiles of the ordinary windows' gains that a document's windows are counted against.
+LEVELS = (0.9, 0.97, 0.99, 0.997, 0.999)
 
 
 def plain(text: str) -> bytes:
     """Lower case, single spaces, a space at either end."""
-    return (" " + " ".join(text.lower().split()) + " ").encode()
-
-
-def contexts(texts: list[bytes]) -> tuple[Counter, int]:
-    """For each word, its distinct contexts (the words beside it); copies of a text add none."""
-    words, rows = split_words(pa.array(texts, pa.binary()).cast(pa.string()))
-    distinct, code = codes_of(words)
-    if not len(code):
-        return Counter(), 0
-    before = np.where(np.append([True], rows[1:] != rows[:-1]), -1, np.roll(code, 1))
-    after = np.where(np.append(rows[1:] != rows[:-1], [True]), -1, np.roll(code, -1))
-    with np.errstate(over="ignore"):
-        key = mix(mix(mix(code + 1) + (before + 2).astype(np.uint64)) + (after + 2).astype(np.uint64))
-    _, first = np.unique(key, return_index=True)
-    count = np.bincount(code[first], minlength=len(distinct))
-    found: Counter = Counter()
-    for word, n in zip(distinct.to_pylist(), count.tolist(), strict=True):
-        found[word.encode().strip(EDGES)] += n
-    return found, len(first)
-
-
-def passages(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """Word beginnings that mark toxic texts, rarest first."""
-    (own, n_own), (other, n_other) = contexts(toxic), contexts(ordinary)
-    count: Counter = Counter()
-    for word, n in own.items():
-        for k in PREFIXES:
-            if len(word) >= k:
-                count[word[:k]] += n
-    count = Counter({p: n for p, n in count.items() if n >= CONTEXTS})
-    against: Counter = Counter()
-    for word, n in other.items():
-        for k in PREFIXES:
-            if len(word) >= k and word[:k] in count:
-                against[word[:k]] += n
-    marked = {}
-    for p, n in count.items():
-        low = max(n - 2 * math.sqrt(n), 0) / n_own
-        high = (against[p] + 2 * math.sqrt(against[p]) + 3) / max(n_other, 1)
-        if low >= TIMES * high:
-            marked[p] = n
-    starts = {p: [q for q in (p[:k] for k in PREFIXES if k < len(p)) if q in marked] for p in marked}
-    out = set(marked)
-    for p, shorter in starts.items():
-        for q in shorter:  # of a passage and its beginning, the longer one if nearly all uses go on so
-            out.discard(q if marked[p] >= 0.7 * marked[q] else p)
-    return sorted(out, key=lambda p: (marked[p], p))
+    return (" " + " ".join(text.lower().split()) + " ").encode("utf-8", "replace")
+
+
+def cut(data: bytes, size: int, step: int) -> list[bytes]:
+    """All windows of a text; none of an empty one."""
+    return [data[i : i + size] for i in range(0, max(len(data) - size + step, 1), step)] if len(data) > 2 else []
+
+
+def trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """A dictionary of the segments that cover most of the samples; few samples are taken as they are."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=segment, d=8, f=20, accel=1, steps=1, level=3).as_bytes()
+    except (zstandard.ZstdError, ValueError):  # too little to train on
+        return b"".join(samples)[:size]
+
+
+def compressor(content: bytes):
+    rules = zstandard.ZstdCompressionParameters(
+        window_log=18, chain_log=15, hash_log=15, search_log=5, min_match=LEAST_MATCH, target_length=1,
+        strategy=zstandard.STRATEGY_FAST, write_content_size=False, write_checksum=False, write_dict_id=False,
+    )
+    own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    own.precompute_compress(compression_params=rules)
+    return zstandard.ZstdCompressor(compression_params=rules, dict_data=own).compress
+
+
+def dictionaries(bases: list[bytes], toxic: list[bytes], ordinary: list[bytes]) -> list[tuple[bytes, bytes]]:
+    """For each base a pair (ordinary, toxic), trained on equally many windows of either class."""
+    pairs = []
+    for p, base in enumerate(bases):
+        draw = random.Random(p)
+        n = min(len(toxic), len(ordinary), SAMPLES)
+        sides = [trained(draw.sample(part, n), OWN_BYTES, 24 if p % 2 else 12) for part in (ordinary, toxic)]
+        pairs.append(tuple(base + s if p % 2 else s + base for s in sides))
+    return pairs
 
 
 @dataclass
 class Model:
-    prose: bytes = b""
-    marks: bytes = b""
+    pairs: list[tuple[bytes, bytes]] = field(default_factory=list)
+    levels: np.ndarray | None = None
     share: float = 0.0
     weights: np.ndarray | None = None
     center: np.ndarray | None = None
     spread: np.ndarray | None = None
-    pairs: list = field(default_factory=list, repr=False)
+    made: list = field(default_factory=list, repr=False)
 
     def __getstate__(self):
-        return self.__dict__ | {"pairs": []}
-
-    def prepare(self) -> list[tuple]:
-        """Ordinary and toxic compressors, made once in each process."""
-        if not self.pairs:
-            rules = zstandard.ZstdCompressionParameters(
-                window_log=18, chain_log=17, hash_log=17, search_log=5, min_match=LEAST_MATCH, target_length=1,
-                strategy=zstandard.STRATEGY_FAST, write_content_size=False, write_checksum=False, write_dict_id=False,
-            )
-            blank = b"\0" * len(self.marks)
-            for without, with_marks in (
-                (blank + self.prose, self.marks + self.prose), (self.prose + blank, self.prose + self.marks),
-            ):
-                pair = []
-                for content in (without, with_marks):
-                    own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                    own.precompute_compress(compression_params=rules)
-                    pair.append(zstandard.ZstdCompressor(compression_params=rules, dict_data=own).compress)
-                self.pairs.append(tuple(pair))
-        return self.pairs
-
-    def features(self, text: str) -> list[float]:
-        data = plain(text)
-        windows = [data[i : i + WINDOW] for i in range(0, max(len(data) - STEP, 1), STEP)] if len(data) > 2 else []
-        out = [math.log1p(len(windows))]
-        for ordinary, toxic in self.prepare():
-            gain = np.array([len(ordinary(w)) - len(toxic(w)) for w in windows], float)
-            top = [*np.sort(gain)[::-1][:3].clip(-8, 8), 0, 0, 0][:3]
-            over = [int((gain >= k).sum()) for k in (1, 2, 3, 4)]
-            out += [*top, *map(math.log1p, over), *(n / max(len(windows), 1) for n in over[:3])]
-        return out
+        return self.__dict__ | {"made": []}
+
+    def gains(self, windows: list[bytes]) -> np.ndarray:
+        """Bytes that the toxic sides save against the ordinary ones, by window."""
+        if not self.made:  # once in each process
+            self.made.extend(tuple(map(compressor, pair)) for pair in self.pairs)
+        total = np.zeros(len(windows))
+        for ordinary, toxic in self.made:  # one compressor after the other, as its tables fill the cache
+            gain = np.fromiter(map(len, map(ordinary, windows)), float, len(windows))
+            gain -= np.fromiter(map(len, map(toxic, windows)), float, len(windows))
+            total += gain.clip(-MOST_GAIN, MOST_GAIN)
+        return total
+
+    def gains_of(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """The gains of each text's windows."""
+        ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+        return np.split(self.gains([w for t in texts for w in t]), ends[:-1]) if len(texts) else []
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.weights is None:
             return np.full(len(texts), self.share)
-        x = (np.array([self.features(t) for t in texts]).reshape(len(texts), -1) - self.center) / self.spread
+        x = np.array([features(g, self.levels) for g in self.gains_of([cut(plain(t), WINDOW, STEP) for t in texts])])
+        x = (x.reshape(len(texts), -1) - self.center) / self.spread
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -50, 50)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, steps: int = 30) -> np.ndarray:
+def features(gain: np.ndarray, levels: np.ndarray) -> list[float]:
+    """What the score depends on: number of windows, largest gains, windows above each level."""
+    top = [*np.sort(gain)[::-1][:3], 0, 0, 0][:3]
+    over = [int((gain > level).sum()) for level in levels]
+    return [math.log1p(len(gain)), *(math.copysign(math.log1p(abs(t)), t) for t in top), *map(math.log1p, over),
+            *(n / max(len(gain), 1) for n in over)]
+
+
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 30) -> np.ndarray:
     """Weights of a logistic model, intercept first, by Newton steps."""
     a = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(a.shape[1])
@@ -159,20 +155,48 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, steps: int = 30
 
 def train(texts: list[str], toxic: list[int], each: tuple[float, float] = (1.0, 1.0)) -> Model:
     """A model of labelled texts, where an ordinary and a toxic one stand for ``each`` of their class."""
-    y = np.array(toxic, float)
-    share = float(y.mean()) if len(y) else 0.0
+    share = sum(toxic) / len(toxic) if len(toxic) else 0.0
     if not 0 < share < 1:
         return Model(share=share)
-    data = [plain(t) for t in texts]
-    ordinary = [d for d, t in zip(data, toxic, strict=True) if not t]
-    marks = passages([d for d, t in zip(data, toxic, strict=True) if t], ordinary)
-    written = b"\n " + b"\n ".join(marks)[-PASSAGE_BYTES:] + b"\n"
-    prose = b""
-    for d in ordinary:
-        if len(prose) < PROSE_BYTES:
-            prose += d
-    model = Model(prose[:PROSE_BYTES], written, share)
-    x = np.array([model.features(t) for t in texts])
+    rows = sorted({(plain(t), int(b)) for t, b in zip(texts, toxic, strict=True)}, key=lambda r: (zlib.crc32(r[0]), r))
+    data, y = [d for d, _ in rows], np.array([b for _, b in rows])
+    fold = np.array([zlib.crc32(d) % 1009 % FOLDS for d in data])
+    fine = [cut(d, SAMPLE, SAMPLE_STEP) for d in data]
+    chosen = [np.arange(len(w)) for w in fine]
+
+    def samples(use: np.ndarray, label: int) -> list[bytes]:
+        return [fine[i][j] for i in np.flatnonzero(use & (y == label)) for j in chosen[i]]
+
+    parts = [fold != k for k in range(FOLDS)]
+    everything = np.ones(len(data), bool)
+    bases = {}
+    for k, use in enumerate([*parts, everything]):
+        prose = samples(use, 0)
+        bases[k] = [
+            trained(random.Random(-1 - p).sample(prose, min(len(prose), SAMPLES)), BASE_BYTES, 32) for p in range(PAIRS)
+        ]
+
+    def unseen() -> list[Model]:
+        return [Model(dictionaries(bases[k], samples(use, 1), samples(use, 0))) for k, use in enumerate(parts)]
+
+    def gains(windows: list[list[bytes]]) -> list[np.ndarray]:
+        out = [np.zeros(0)] * len(windows)
+        for k, model in enumerate(unseen()):
+            own = np.flatnonzero(fold == k)
+            for i, g in zip(own, model.gains_of([windows[i] for i in own]), strict=True):
+                out[i] = g
+        return out
+
+    for quantile in KEEP:
+        gain = gains(fine)
+        ordinary = np.concatenate([g for g, b in zip(gain, y, strict=True) if not b])
+        least = np.quantile(ordinary, quantile) if len(ordinary) else 0.0
+        chosen = [np.flatnonzero(g >= least) for g in gain]
+    gain = gains([cut(d, WINDOW, STEP) for d in data])
+    ordinary = np.concatenate([g for g, b in zip(gain, y, strict=True) if not b])
+    levels = np.quantile(ordinary, LEVELS) if len(ordinary) else np.zeros(len(LEVELS))
+    model = Model(dictionaries(bases[FOLDS], samples(everything, 1), samples(everything, 0)), levels, share)
+    x = np.array([features(g, levels) for g in gain])
     model.center, model.spread = x.mean(axis=0), x.std(axis=0) + 1e-9
     model.weights = logistic((x - model.center) / model.spread, y)
     model.weights[0] += math.log(each[1] / each[0])
@@ -184,10 +208,10 @@ def usable(labels: DataFrame, use: Column) -> DataFrame:
     return labels.filter(use & F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("key"), "toxic")
 
 
-def stands_for(labels: DataFrame, use: Column) -> tuple[float, float]:
-    """The labels for each one taken into the sample, of ordinary and of toxic texts."""
+def stands_for(labels: DataFrame, use: Column, taken: list[int]) -> tuple[float, float]:
+    """The labels for each one of the sample (``taken``), of ordinary and of toxic texts."""
     count = {r["toxic"]: r["count"] for r in usable(labels, use).groupBy("toxic").count().collect()}
-    return max(count.get(0, 0) / ORDINARY, 1.0), max(count.get(1, 0) / TOXIC, 1.0)
+    return tuple(max(count.get(k, 0), 1) / max(taken.count(k), 1) for k in (0, 1))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,7 +226,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, use: Column, id_col: str =
 
 def fit(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text") -> Model:
     rows = training_rows(docs, labels, use, id_col, text_col).collect()
-    return train([r.text for r in rows], [r.toxic for r in rows], stands_for(labels, use))
+    toxic = [r.toxic for r in rows]
+    return train([r.text for r in rows], toxic, stands_for(labels, use, toxic))
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

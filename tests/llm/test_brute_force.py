@@ -103,14 +103,64 @@ def test_op4_held_out(spark):
     assert found.score.between(0, 1).all() and (found.predicted == (found.score >= 0.5)).all()
 
 
-def test_op4_marks():
+def planted_words(n: int):
     r = random.Random(0)
     common = ["".join(r.choices("abcdefgh", k=6)) for _ in range(300)]
-    clean = [" ".join(r.choices(common, k=60)) for _ in range(150)]
-    toxic = [" ".join([*r.choices(common, k=50), "zzyzx" + r.choice("abc"), *r.choices(common, k=9)]) for _ in range(150)]
-    assert b"zzyzx" in b" ".join(toxicity.passages([toxicity.plain(t) for t in toxic], [toxicity.plain(t) for t in clean]))
+    clean = [" ".join(r.choices(common, k=60)) for _ in range(n)]
+    toxic = [" ".join([*r.choices(common, k=50), "zzyzx" + r.choice("abc"), *r.choices(common, k=9)]) for _ in range(n)]
+    return toxic, clean
+
+
+def test_op4_marks():
+    toxic, clean = planted_words(150)
     model = toxicity.train(toxic[:100] + clean[:100], [1] * 100 + [0] * 100)
     assert (model.scores(toxic[100:]) >= 0.5).mean() > 0.9 and (model.scores(clean[100:]) >= 0.5).mean() < 0.1
+    for ordinary, own in model.pairs:  # either side is trained on windows of its class
+        assert own.count(b"zzyzx") > ordinary.count(b"zzyzx")
+
+
+def test_op4_order_of_rows():
+    toxic, clean = planted_words(60)
+    rows = [(t, 1) for t in toxic] + [(t, 0) for t in clean]
+    first = toxicity.train([t for t, _ in rows], [b for _, b in rows])
+    random.Random(1).shuffle(rows)
+    rows += rows[:20]  # copies train nothing
+    second = toxicity.train([t for t, _ in rows], [b for _, b in rows])
+    assert first.pairs == second.pairs and np.array_equal(first.weights[1:], second.weights[1:])
+
+
+def test_op4_scores_by_hand():
+    import zstandard
+
+    toxic, clean = planted_words(60)
+    model = toxicity.train(toxic + clean, [1] * 60 + [0] * 60)
+
+    def length(content, window):
+        own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        rules = zstandard.ZstdCompressionParameters(
+            window_log=18, chain_log=15, hash_log=15, search_log=5, min_match=6, target_length=1,
+            strategy=zstandard.STRATEGY_FAST, write_content_size=False, write_checksum=False, write_dict_id=False,
+        )
+        own.precompute_compress(compression_params=rules)
+        return len(zstandard.ZstdCompressor(compression_params=rules, dict_data=own).compress(window))
+
+    texts = ["", "A", "Zzyzxa  zzyzxB\n", toxic[0].upper(), clean[0], toxic[1] + clean[1] * 5]
+    for text, score in zip(texts, model.scores(texts), strict=True):
+        words = text.lower().split()
+        data = f" {' '.join(words)} ".encode() if words else b""
+        gain, start = [], 0
+        while data:
+            gain.append(sum(max(-4, min(4, length(o, data[start : start + 64]) - length(t, data[start : start + 64])))
+                            for o, t in model.pairs))
+            start += 32
+            if start + 32 >= len(data):
+                break
+        top = (sorted(gain, reverse=True) + [0, 0, 0])[:3]
+        over = [sum(g > level for g in gain) for level in model.levels]
+        x = [math.log1p(len(gain)), *(math.copysign(math.log1p(abs(g)), g) for g in top)]
+        x += [math.log1p(n) for n in over] + [n / max(len(gain), 1) for n in over]
+        z = model.weights[0] + sum(w * (v - c) / s for w, v, c, s in zip(model.weights[1:], x, model.center, model.spread, strict=True))
+        assert abs(score - 1 / (1 + math.exp(-z))) < 1e-9
 
 
 def test_op4_threshold_with_small_caps(spark, monkeypatch):
