@@ -13,7 +13,7 @@ on the windows that gained most the time before: those above a quantile of the g
 ordinary windows, for both classes, so that ordinary windows that look toxic go to the
 ordinary side. Gains are always measured with dictionaries that have not seen the text (texts
 in ``FOLDS`` parts). The last such gains also train the logistic model that turns a document's
-largest gains, and how many windows exceed each threshold, into a score, so its threshold
+largest gains, how many windows exceed each threshold, and on how many the pairs agree, into a score, so its threshold
 of 0.5 is calibrated on labels that its dictionaries have not seen.
 
 The fit uses at most ``TOXIC`` and ``ORDINARY`` labelled documents, those with the
@@ -43,15 +43,17 @@ from stationcast.llm.common import annotate, id_crc, keep_rows
 
 TOXIC, ORDINARY, MOST_CHARS = 1500, 3000, 20_000
 #: Bytes of a pair's common base and of the part that each side has of its own.
-BASE_BYTES, OWN_BYTES = 32_768, 3_072
-PAIRS, FOLDS = 4, 4
+BASE_BYTES, OWN_BYTES = 32_768, 2_048
+PAIRS, FOLDS = 6, 4
+#: A document's windows are counted that gain with at least so many pairs.
+AGREE = (2, 3, 4, 6)
 #: Windows that dictionaries are trained on, and at most so many of a class for one dictionary.
-SAMPLE, SAMPLE_STEP, SAMPLES = 24, 12, 40_000
+SAMPLE, SAMPLE_STEP, SAMPLES = 24, 8, 40_000
 #: Windows whose lengths are compared.
 WINDOW, STEP = 64, 32
 LEAST_MATCH = 6
 #: One pair counts for at most so many bytes of a window, so that one chance match doesn't decide.
-MOST_GAIN = 4
+MOST_GAIN = 6
 #: Quantiles of the ordinary windows' gains above which windows train the next dictionaries.
 KEEP = (0.9, 0.97, 0.99)
 #: Quantiles of the ordinary windows' gains that a document's windows are counted against.
@@ -111,15 +113,14 @@ class Model:
         return self.__dict__ | {"made": []}
 
     def gains(self, windows: list[bytes]) -> np.ndarray:
-        """Bytes that the toxic sides save against the ordinary ones, by window."""
+        """Bytes that the toxic side saves against the ordinary one, by window and pair."""
         if not self.made:  # once in each process
             self.made.extend(tuple(map(compressor, pair)) for pair in self.pairs)
-        total = np.zeros(len(windows))
-        for ordinary, toxic in self.made:  # one compressor after the other, as its tables fill the cache
-            gain = np.fromiter(map(len, map(ordinary, windows)), float, len(windows))
-            gain -= np.fromiter(map(len, map(toxic, windows)), float, len(windows))
-            total += gain.clip(-MOST_GAIN, MOST_GAIN)
-        return total
+        gain = np.zeros((len(windows), len(self.made)))
+        for p, (ordinary, toxic) in enumerate(self.made):  # one compressor after the other, as its tables fill the cache
+            gain[:, p] = np.fromiter(map(len, map(ordinary, windows)), float, len(windows))
+            gain[:, p] -= np.fromiter(map(len, map(toxic, windows)), float, len(windows))
+        return gain.clip(-MOST_GAIN, MOST_GAIN)
 
     def gains_of(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         """The gains of each text's windows."""
@@ -135,11 +136,13 @@ class Model:
 
 
 def features(gain: np.ndarray, levels: np.ndarray) -> list[float]:
-    """What the score depends on: number of windows, largest gains, windows above each level."""
-    top = [*np.sort(gain)[::-1][:3], 0, 0, 0][:3]
-    over = [int((gain > level).sum()) for level in levels]
-    return [math.log1p(len(gain)), *(math.copysign(math.log1p(abs(t)), t) for t in top), *map(math.log1p, over),
-            *(n / max(len(gain), 1) for n in over)]
+    """What the score depends on: number of windows, largest gains, windows above each level, windows on which pairs agree."""
+    total = gain.sum(axis=1)
+    top = [*np.sort(total)[::-1][:3], 0, 0, 0][:3]
+    over = [int((total > level).sum()) for level in levels]
+    agreed = [int(((gain >= saved).sum(axis=1) >= pairs).sum()) for saved in (2, 3, 4) for pairs in AGREE]
+    return [math.log1p(len(total)), *(math.copysign(math.log1p(abs(t)), t) for t in top), *map(math.log1p, over),
+            *(n / max(len(total), 1) for n in over), *map(math.log1p, agreed)]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 30) -> np.ndarray:
@@ -180,7 +183,7 @@ def train(texts: list[str], toxic: list[int], each: tuple[float, float] = (1.0,
         return [Model(dictionaries(bases[k], samples(use, 1), samples(use, 0))) for k, use in enumerate(parts)]
 
     def gains(windows: list[list[bytes]]) -> list[np.ndarray]:
-        out = [np.zeros(0)] * len(windows)
+        out = [np.zeros((0, PAIRS))] * len(windows)
         for k, model in enumerate(unseen()):
             own = np.flatnonzero(fold == k)
             for i, g in zip(own, model.gains_of([windows[i] for i in own]), strict=True):
@@ -189,11 +192,11 @@ def train(texts: list[str], toxic: list[int], each: tuple[float, float] = (1.0,
 
     for quantile in KEEP:
         gain = gains(fine)
-        ordinary = np.concatenate([g for g, b in zip(gain, y, strict=True) if not b])
+        ordinary = np.concatenate([g for g, b in zip(gain, y, strict=True) if not b]).sum(axis=1)
         least = np.quantile(ordinary, quantile) if len(ordinary) else 0.0
-        chosen = [np.flatnonzero(g >= least) for g in gain]
+        chosen = [np.flatnonzero(g.sum(axis=1) >= least) for g in gain]
     gain = gains([cut(d, WINDOW, STEP) for d in data])
-    ordinary = np.concatenate([g for g, b in zip(gain, y, strict=True) if not b])
+    ordinary = np.concatenate([g for g, b in zip(gain, y, strict=True) if not b]).sum(axis=1)
     levels = np.quantile(ordinary, LEVELS) if len(ordinary) else np.zeros(len(LEVELS))
     model = Model(dictionaries(bases[FOLDS], samples(everything, 1), samples(everything, 0)), levels, share)
     x = np.array([features(g, levels) for g in gain])

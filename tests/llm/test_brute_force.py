@@ -150,15 +150,17 @@ def test_op4_scores_by_hand():
         data = f" {' '.join(words)} ".encode() if words else b""
         gain, start = [], 0
         while data:
-            gain.append(sum(max(-4, min(4, length(o, data[start : start + 64]) - length(t, data[start : start + 64])))
-                            for o, t in model.pairs))
+            window = data[start : start + 64]
+            gain.append([max(-6, min(6, length(o, window) - length(t, window))) for o, t in model.pairs])
             start += 32
             if start + 32 >= len(data):
                 break
-        top = (sorted(gain, reverse=True) + [0, 0, 0])[:3]
-        over = [sum(g > level for g in gain) for level in model.levels]
+        total = [sum(g) for g in gain]
+        top = (sorted(total, reverse=True) + [0, 0, 0])[:3]
+        over = [sum(g > level for g in total) for level in model.levels]
+        agreed = [sum(sum(v >= saved for v in g) >= pairs for g in gain) for saved in (2, 3, 4) for pairs in (2, 3, 4, 6)]
         x = [math.log1p(len(gain)), *(math.copysign(math.log1p(abs(g)), g) for g in top)]
-        x += [math.log1p(n) for n in over] + [n / max(len(gain), 1) for n in over]
+        x += [math.log1p(n) for n in over] + [n / max(len(gain), 1) for n in over] + [math.log1p(n) for n in agreed]
         z = model.weights[0] + sum(w * (v - c) / s for w, v, c, s in zip(model.weights[1:], x, model.center, model.spread, strict=True))
         assert abs(score - 1 / (1 + math.exp(-z))) < 1e-9
 
