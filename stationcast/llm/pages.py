@@ -15,7 +15,8 @@ Null and empty pages, and pages without text, give the empty string. Broken mark
 read as far as it goes: a missing end tag ends with its parent, a stray one is ignored.
 Words of class and id, and forms, hide an element only while it holds no ``main``, no article
 of a page without another one, and less text than the rest of the page and twice what was
-chosen; otherwise the page is read again with that element open. Words with has-, no- or
+chosen; otherwise the page is read again with that element open. Adverts, cookie notices and
+newsletters are not opened for their length. Words with has-, no- or
 with- before them and words on headings hide nothing; inside an article a name must consist
 of such words. If nothing is left, neither words nor forms hide anything. Whole pages are read.
 Repeated rows give repeated results.
@@ -60,6 +61,11 @@ SKIPPED_WORDS = frozenset(
 #: Of these, words of parts that often hold articles of their own, and of those that may be longer than the main text.
 CARD_WORDS = frozenset("related recommended recommendations sidebar promo promotion sponsor sponsored widget".split())
 READER_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: A part with one of these words opens only if it holds the page's article, however long it is.
+ADVERT_WORDS = frozenset(
+    "ad ads adsense adv advert adverts advertisement advertising consent cookie cookies gdpr newsletter promo promotion sponsor"
+    " sponsored subscribe subscription".split()
+)
 #: Words that are content inside an article, and words that add nothing to a name there.
 ARTICLE_WORDS = frozenset("header notice notification alert".split())
 PLAIN_WORDS = frozenset(
@@ -252,7 +258,7 @@ def wrongly_hidden(page: Lines, chosen: list[Line]) -> set[int]:
         for p in page.parts
         if p.main
         or p.article and not marked and not p.words & (CARD_WORDS | READER_WORDS)
-        or not p.words & READER_WORDS and (p.chars > total / 2 or p.chars > 2 * kept)
+        or not p.words & (READER_WORDS | ADVERT_WORDS) and (p.chars > total / 2 or p.chars > 2 * kept)
     }
 
 

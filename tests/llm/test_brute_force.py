@@ -160,6 +160,15 @@ def test_op5_other_pages():
         assert isinstance(pages.main_text(broken), str)
 
 
+def test_op5_long_adverts_stay_hidden():
+    body = "<p>First paragraph of the story with quite a lot of words in it.</p><p>Second one, as long as that and about it.</p>"
+    want = "First paragraph of the story with quite a lot of words in it. Second one, as long as that and about it."
+    long = "<p>Buy this wonderful thing today, it is cheaper than ever and ships for free to any place.</p>" * 9
+    for name in ("ad", "newsletter", "cookie-banner"):
+        assert pages.main_text(f'<body><div class="{name}">{long}</div><div>{body}</div></body>') == want
+    assert pages.main_text(f'<body><div class="newsletter"><article>{body}</article></div></body>') == want
+
+
 def test_op5_words_hide_no_main_text():
     one = "This paragraph says quite a lot about the matter at hand, in many words, so that it counts as content."
     two = "A different paragraph of the body with enough words to be long, and to be kept by all means."
