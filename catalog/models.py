@@ -287,12 +287,13 @@ from (select regr_intercept(y, x) as a, regr_slope(y, x) as b from {SPLIT_ONE} w
 
 
 def _one_feature(spark, sf, path=None):
+    """Least squares on one feature; with a path it is saved there and loaded, also where the feature is constant."""
     trained = training.train_all(
         base.feature_rows(spark, sf), {"LinearRegression": training.linear_regression}, columns=["no2"], **base.UNIQUE
     )
     if path is None:
         return trained
-    training.choose_and_save(spark, trained, path)
+    training.choose_and_save(spark, trained, path, rejected=True)
     return load_artifacts(spark, path)
 
 
