@@ -38,7 +38,7 @@ def tables(spark, tmp_path_factory):
     return {"always": build("always", ()), "test_side": build("test_side", range(60, 75))}
 
 
-@pytest.mark.parametrize("name", ["m18_batch_values", "m20_forecast_values", "m21_scenario_values"])
+@pytest.mark.parametrize("name", ["m18_batch_values", "m20_forecast_values", "m21_scenario_values", "m23_recent_values"])
 def test_feature_constant_on_the_test_side(spark, tables, name):
     sf, con = tables["test_side"]
     problem, rows = compare(spark, con, sf, QUERIES[name], ORACLE[name])
