@@ -16,7 +16,9 @@ HIDDEN = 24
 STREAMS, WINDOW = 128, 32
 RATE, CLIP = 0.01, 1.0
 #: Symbols scored in one go.
-SCORED = 1 << 15
+SCORED = 1 << 13
+#: Logits that differ by no more keep their exponentials within single precision.
+SPREAD = 80.0
 SHAPES = {
     "input": (SYMBOLS, 3 * HIDDEN), "state": (HIDDEN, 3 * HIDDEN),
     "group": (HIDDEN, GROUPS), "group_bias": (GROUPS,),
@@ -51,28 +53,55 @@ def views(vector: np.ndarray) -> Parameters:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.divide(1, x, out=x)
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(x - top) and ``top``: one number for all, or that of each column where exponentials would vanish."""
+    top = x.max()
+    if top - x.min() > SPREAD:
+        top = x.max(axis=0)
+    out = x - top
+    return np.exp(out, out=out), top
 
 
-def by_group(symbols: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """The places of each group's symbols."""
-    group = symbols // GROUP
+def by_group(symbols: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """The places of the symbols in the order of their groups, and each group's part of these."""
+    group = (symbols // GROUP).astype(np.int8)
     order = np.argsort(group, kind="stable")
     bounds = np.searchsorted(group[order], np.arange(GROUPS + 1))
-    return [(g, order[bounds[g] : bounds[g + 1]]) for g in range(GROUPS) if bounds[g] < bounds[g + 1]]
+    return order, [(g, slice(bounds[g], bounds[g + 1])) for g in range(GROUPS) if bounds[g] < bounds[g + 1]]
+
+
+def group_logits(p: Parameters, state: np.ndarray) -> np.ndarray:
+    """Logits of the groups, a column for each state (row): softmaxes are quicker down columns."""
+    out = p["group"].T @ state.T
+    out += p["group_bias"][:, None]
+    return out
+
+
+def inner_logits(p: Parameters, state: np.ndarray, parts: list[tuple[int, slice]]) -> np.ndarray:
+    """Logits inside the groups, a column for each state (row); states stand in the order of the groups."""
+    out = np.empty((GROUP, len(state)), np.result_type(p["inside"], state))
+    for g, at in parts:
+        np.matmul(p["inside"][g].T, state[at].T, out=out[:, at])
+        out[:, at] += p["inside_bias"][g][:, None]
+    return out
 
 
 def log_likelihood(p: Parameters, state: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log-probabilities of ``target`` after the states (rows)."""
-    out = log_softmax(state @ p["group"] + p["group_bias"])[np.arange(len(target)), target // GROUP]
-    for g, at in by_group(target):
-        inner = log_softmax(state[at] @ p["inside"][g] + p["inside_bias"][g])
-        out[at] += inner[np.arange(len(at)), target[at] % GROUP]
+
+    def chosen(x: np.ndarray, which: np.ndarray) -> np.ndarray:
+        e, top = exponentials(x)
+        return x[which, np.arange(len(which))] - top - np.log(e.sum(axis=0))
+
+    out = chosen(group_logits(p, state), target // GROUP)
+    order, parts = by_group(target)
+    out[order] += chosen(inner_logits(p, state.take(order, axis=0), parts), target[order] % GROUP)
     return out
 
 
@@ -80,9 +109,14 @@ def step(p: Parameters, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple
     """The next state after inputs ``x`` (rows of the input table)."""
     g = h @ p["state"]
     zr = sigmoid(x[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
-    z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-    n = np.tanh(x[:, 2 * HIDDEN :] + r * g[:, 2 * HIDDEN :])
-    return n + z * (h - n), (h, z, r, n, g[:, 2 * HIDDEN :])
+    z, r, gn = zr[:, :HIDDEN], zr[:, HIDDEN:], g[:, 2 * HIDDEN :]
+    n = r * gn
+    n += x[:, 2 * HIDDEN :]
+    np.tanh(n, out=n)
+    out = h - n
+    out *= z
+    out += n
+    return out, (h, z, r, n, gn)
 
 
 def score(p: Parameters, documents: list[np.ndarray], first: int) -> np.ndarray:
@@ -103,7 +137,7 @@ def score(p: Parameters, documents: list[np.ndarray], first: int) -> np.ndarray:
     for t in range(int(size[0])):
         while size[active - 1] <= t:
             active -= 1
-        h, _ = step(p, p["input"][last[:active]], h[:active])
+        h, _ = step(p, p["input"].take(last[:active], axis=0), h[:active])
         last = symbols[start[:active] + t]
         states.append(h)
         targets.append(last)
@@ -154,7 +188,7 @@ class Trainer:
     def window(self, before: np.ndarray, target: np.ndarray, new: np.ndarray, real: np.ndarray, h: np.ndarray) -> np.ndarray:
         p, (steps, width) = self.parameters, before.shape
         kept = (~new).astype(np.float32)[:, :, None]
-        x = p["input"][before]
+        x = p["input"].take(before, axis=0)
         old, z, r, n, gn, states = (np.empty((steps, width, HIDDEN), np.float32) for _ in range(6))
         for t in range(steps):
             h, (old[t], z[t], r[t], n[t], gn[t]) = step(p, x[t], h * kept[t])
@@ -173,32 +207,39 @@ class Trainer:
             carried = (back[t] * z[t] + deltas[t].reshape(width, -1) @ to_state) * kept[t]
         grad["state"][...] = old.reshape(-1, HIDDEN).T @ deltas.reshape(-1, 3 * HIDDEN)
         deltas[:, :, 2] = back * by_n  # the candidate's input isn't gated
-        rows, places = deltas.reshape(-1, 3 * HIDDEN), before.ravel()
+        rows, places = deltas.reshape(-1, 3 * HIDDEN), before.ravel().astype(np.int16)
         order = np.argsort(places, kind="stable")
         ranked = places[order]
         edge = np.flatnonzero(np.append([True], ranked[1:] != ranked[:-1]))
         grad["input"][...] = 0
-        grad["input"][ranked[edge]] = np.add.reduceat(rows[order], edge, axis=0)
+        grad["input"][ranked[edge]] = np.add.reduceat(rows.take(order, axis=0), edge, axis=0)
         self.update()
         return h
 
     def output(self, state: np.ndarray, target: np.ndarray, real: np.ndarray, grad: Parameters) -> np.ndarray:
         """The gradients of both softmaxes into ``grad``; returns that of the states."""
-        p = self.parameters
-        weight = (real / max(int(real.sum()), 1)).astype(np.float32)[:, None]
-        d = np.exp(log_softmax(state @ p["group"] + p["group_bias"]))
-        d[np.arange(len(target)), target // GROUP] -= 1
-        d *= weight
-        grad["group"][...], grad["group_bias"][...] = state.T @ d, d.sum(axis=0)
-        back = d @ p["group"].T
+        p, weight = self.parameters, (real / max(int(real.sum()), 1)).astype(np.float32)
+
+        def errors(x: np.ndarray, which: np.ndarray, weight: np.ndarray) -> np.ndarray:
+            d, _ = exponentials(x)
+            d /= d.sum(axis=0)
+            d[which, np.arange(len(which))] -= 1
+            d *= weight
+            return d
+
+        d = errors(group_logits(p, state), target // GROUP, weight)
+        grad["group"][...], grad["group_bias"][...] = state.T @ d.T, d.sum(axis=1)
+        back = d.T @ p["group"].T
         grad["inside"][...], grad["inside_bias"][...] = 0, 0
-        for g, at in by_group(target):
-            own = state[at]
-            d = np.exp(log_softmax(own @ p["inside"][g] + p["inside_bias"][g]))
-            d[np.arange(len(at)), target[at] % GROUP] -= 1
-            d *= weight[at]
-            grad["inside"][g], grad["inside_bias"][g] = own.T @ d, d.sum(axis=0)
-            back[at] += d @ p["inside"][g].T
+        order, parts = by_group(target)
+        own, inner = state.take(order, axis=0), np.empty_like(back)
+        d = errors(inner_logits(p, own, parts), target[order] % GROUP, weight[order])
+        for g, at in parts:
+            grad["inside"][g], grad["inside_bias"][g] = own[at].T @ d[:, at].T, d[:, at].sum(axis=1)
+            np.matmul(d[:, at].T, p["inside"][g].T, out=inner[at])
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        back += inner.take(place, axis=0)
         return back
 
     def update(self) -> None:

@@ -261,6 +261,18 @@ def test_op7_symbols_are_a_distribution():
     assert math.isclose(np.exp(gru.log_likelihood(p, state, every)).sum(), 1, rel_tol=1e-4)
 
 
+def test_op7_logits_far_apart():
+    """Columns whose logits differ by hundreds keep their probabilities, beside others."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((gru.GROUP, 50)).astype(np.float32)
+    x[:, 7] -= 300
+    x[:, 9] *= 200
+    e, top = gru.exponentials(x)
+    exact = x.astype(np.float64)
+    want = np.log(np.exp(exact - exact.max(axis=0)).sum(axis=0)) + exact.max(axis=0)
+    assert np.allclose(np.log(e.sum(axis=0)) + top, want, rtol=1e-5, atol=1e-4)
+
+
 def test_op7_state_is_carried():
     rng = np.random.default_rng(1)
     p = gru.begin(np.ones(gru.SYMBOLS))
