@@ -17,6 +17,8 @@ STREAMS, WINDOW = 128, 32
 RATE, CLIP = 0.01, 1.0
 #: Symbols scored in one go.
 SCORED = 1 << 13
+#: States that are worth a gather and products by planes; below, calls cost more than numbers.
+WIDE = 256
 #: Logits that differ by no more keep their exponentials within single precision.
 SPREAD = 80.0
 SHAPES = {
@@ -105,6 +107,35 @@ def log_likelihood(p: Parameters, state: np.ndarray, target: np.ndarray) -> np.n
     return out
 
 
+def planes(table: np.ndarray) -> np.ndarray:
+    """The columns of both gates and of the candidate one after the other, times -1 and 2 as their exponentials need them."""
+    out = np.ascontiguousarray(table.reshape(len(table), 3, HIDDEN).swapaxes(0, 1))
+    out[:2] *= -1
+    out[2] *= 2
+    return out
+
+
+def gated(weights: np.ndarray, x: np.ndarray, h: np.ndarray, g: np.ndarray, zr: np.ndarray, n: np.ndarray, out: np.ndarray) -> None:
+    """The next state into ``out``; what a step back needs is left in ``g``, ``zr`` and ``n``. ``weights`` and ``x`` are planes.
+
+    tanh(a) is 1 - 2 / (1 + exp(2 a)): NumPy's exponentials take a third of the time.
+    """
+    np.matmul(h, weights, out=g)
+    np.add(x[:2], g[:2], out=zr)
+    np.exp(zr, out=zr)
+    zr += 1
+    np.divide(1, zr, out=zr)
+    np.multiply(zr[1], g[2], out=n)
+    n += x[2]
+    np.exp(n, out=n)
+    n += 1
+    np.divide(-2, n, out=n)
+    n += 1
+    np.subtract(h, n, out=out)
+    out *= zr[0]
+    out += n
+
+
 def step(p: Parameters, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
     """The next state after inputs ``x`` (rows of the input table)."""
     g = h @ p["state"]
@@ -133,11 +164,19 @@ def score(p: Parameters, documents: list[np.ndarray], first: int) -> np.ndarray:
     h = np.zeros((len(order), HIDDEN), np.float32)
     last = np.full(len(order), first)
     active = len(order)
+    weights, table = planes(p["state"]), planes(p["input"])
+    g, zr, n = (np.empty((k, len(order), HIDDEN), np.float32) for k in (3, 2, 1))
     states, targets, owners, held = [], [], [], 0
     for t in range(int(size[0])):
-        while size[active - 1] <= t:
-            active -= 1
-        h, _ = step(p, p["input"].take(last[:active], axis=0), h[:active])
+        if size[active - 1] <= t:
+            while size[active - 1] <= t:
+                active -= 1
+            g, zr, n = (a[:, :active] for a in (g, zr, n))
+        if active < WIDE:
+            h, _ = step(p, p["input"].take(last[:active], axis=0), h[:active])
+        else:
+            before, h = h[:active], np.empty((active, HIDDEN), np.float32)
+            gated(weights, table.take(last[:active], axis=1), before, g, zr, n[0], h)
         last = symbols[start[:active] + t]
         states.append(h)
         targets.append(last)
@@ -188,16 +227,20 @@ class Trainer:
     def window(self, before: np.ndarray, target: np.ndarray, new: np.ndarray, real: np.ndarray, h: np.ndarray) -> np.ndarray:
         p, (steps, width) = self.parameters, before.shape
         kept = (~new).astype(np.float32)[:, :, None]
-        x = p["input"].take(before, axis=0)
-        old, z, r, n, gn, states = (np.empty((steps, width, HIDDEN), np.float32) for _ in range(6))
+        weights, table = planes(p["state"]), planes(p["input"])
+        x = table.take(before, axis=1)
+        old, n, states = (np.empty((steps, width, HIDDEN), np.float32) for _ in range(3))
+        zr, g = (np.empty((steps, k, width, HIDDEN), np.float32) for k in (2, 3))
         for t in range(steps):
-            h, (old[t], z[t], r[t], n[t], gn[t]) = step(p, x[t], h * kept[t])
-            states[t] = h
+            np.multiply(h, kept[t], out=old[t])
+            gated(weights, x[:, t], old[t], g[t], zr[t], n[t], states[t])
+            h = states[t]
+        z, r = zr[:, 0], zr[:, 1]
         grad = views(self.grad)
         back = self.output(states.reshape(-1, HIDDEN), target.ravel(), real.ravel(), grad).reshape(states.shape)
         # what a step passes on is its own gradient times these factors
         by_n = (1 - z) * (1 - n * n)
-        gates = np.stack([(old - n) * z * (1 - z), by_n * gn * r * (1 - r), by_n * r], axis=2)
+        gates = np.stack([(old - n) * z * (1 - z), by_n * (g[:, 2] / 2) * r * (1 - r), by_n * r], axis=2)
         carried = np.zeros((width, HIDDEN), np.float32)
         deltas = np.empty((steps, width, 3, HIDDEN), np.float32)
         to_state = np.ascontiguousarray(p["state"].T)
@@ -222,9 +265,8 @@ class Trainer:
 
         def errors(x: np.ndarray, which: np.ndarray, weight: np.ndarray) -> np.ndarray:
             d, _ = exponentials(x)
-            d /= d.sum(axis=0)
-            d[which, np.arange(len(which))] -= 1
-            d *= weight
+            d *= weight / d.sum(axis=0)
+            d[which, np.arange(len(which))] -= weight
             return d
 
         d = errors(group_logits(p, state), target // GROUP, weight)
@@ -234,8 +276,9 @@ class Trainer:
         order, parts = by_group(target)
         own, inner = state.take(order, axis=0), np.empty_like(back)
         d = errors(inner_logits(p, own, parts), target[order] % GROUP, weight[order])
+        grad["inside_bias"][[g for g, _ in parts]] = np.add.reduceat(d, [at.start for _, at in parts], axis=1).T
         for g, at in parts:
-            grad["inside"][g], grad["inside_bias"][g] = own[at].T @ d[:, at].T, d[:, at].sum(axis=1)
+            np.matmul(own[at].T, d[:, at].T, out=grad["inside"][g])
             np.matmul(d[:, at].T, p["inside"][g].T, out=inner[at])
         place = np.empty_like(order)
         place[order] = np.arange(len(order))

@@ -287,6 +287,20 @@ def test_op7_state_is_carried():
         assert math.isclose(value, total, rel_tol=1e-4, abs_tol=1e-6)
 
 
+def test_op7_planes_take_the_same_step():
+    rng = np.random.default_rng(6)
+    p = gru.begin(np.ones(gru.SYMBOLS))
+    x, h = (rng.standard_normal((50, k)).astype(np.float32) * 3 for k in (3 * gru.HIDDEN, gru.HIDDEN))
+    g, zr, n, out = (np.empty((*of, 50, gru.HIDDEN), np.float32) for of in ((3,), (2,), (), ()))
+    gru.gated(gru.planes(p["state"]), gru.planes(x), h, g, zr, n, out)
+    want, (_, z, r, candidate, gn) = gru.step(p, x, h)
+    for a, b in ((out, want), (zr[0], z), (zr[1], r), (n, candidate), (g[2] / 2, gn)):
+        assert np.allclose(a, b, atol=1e-6)
+    # documents that step together and one by one get the same scores
+    documents = [rng.integers(0, gru.SYMBOLS, 1 + i % 40) for i in range(gru.WIDE + 50)]
+    assert np.allclose(gru.score(p, documents, 0), [gru.score(p, [d], 0)[0] for d in documents], rtol=1e-5)
+
+
 def test_op7_gradients():
     rng = np.random.default_rng(0)
     trainer = gru.Trainer(gru.begin(np.ones(gru.SYMBOLS)), 0)
